@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import sized
 from .columns import q
 
 
@@ -69,8 +70,9 @@ def hash_rank(
     for i, c in enumerate(by):
         match = match & q(c).eqNullSafe(F.col(f"_by_{i}"))
     inside = Window.partitionBy(*group, "_bucket").orderBy("_hash", q(key))
-    return (
+    ranked = (
         hashed.join(shifts, match)
         .withColumn(out, F.row_number().over(inside).cast("long") + F.col("_shift"))
         .drop("_hash", "_bucket", "_shift", "_shift_bucket", *[f"_by_{i}" for i in range(len(by))])
     )
+    return sized(ranked, rows)

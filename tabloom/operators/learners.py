@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,7 @@ class Job:
     seed: int = 42
     full_rows: bool = False  # fit slow models on every row, not on their sample
     calibration_folds: int = CALIBRATION_FOLDS
+    parallelism: int = 4  # fits in flight at once
 
 
 def fit_learner(name: str, train: DataFrame, job: Job, params: dict | None = None):
@@ -277,17 +279,21 @@ def _fit_svc(train: DataFrame, job: Job, params: dict) -> CalibratedSvc:
 
     def estimator(rows: int):
         svc = mlc.LinearSVC(
-            maxIter=100, regParam=1 / (params.get("C", 1) * rows), standardization=False, **common, **weight
+            maxIter=100, tol=1e-4, regParam=1 / (params.get("C", 1) * rows), standardization=False, **common, **weight
         )
         return svc if job.n_classes == 2 else mlc.OneVsRest(classifier=svc, **common, **weight)
 
     n = train.count()
     folded = with_folds(train, "_row_id", job.calibration_folds, "_label", job.seed, "_calibration").persist()
+
+
+    def unseen(f: int) -> DataFrame:
+        model = estimator(n).fit(folded.where(F.col("_calibration") != f))
+        return model.transform(folded.where(F.col("_calibration") == f)).select("_label", "rawPrediction")
+
     try:
-        parts = []
-        for f in range(job.calibration_folds):
-            model = estimator(n).fit(folded.where(F.col("_calibration") != f))
-            parts.append(model.transform(folded.where(F.col("_calibration") == f)).select("_label", "rawPrediction"))
+        with ThreadPool(job.parallelism) as pool:
+            parts = pool.map(unseen, range(job.calibration_folds))
         sigmoids = platt(reduce(DataFrame.unionByName, parts), job.n_classes)
         return CalibratedSvc(estimator(n).fit(folded), sigmoids, job.n_classes)
     finally:

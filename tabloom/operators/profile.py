@@ -13,8 +13,9 @@ CONSTANT_LIMIT = 0.99
 TEXT_ID_LIMIT = 0.70
 NAMED_ID_LIMIT = 0.50
 CLASS_LIMIT = 20
-# the distinct sketch has 1% standard error; five times that decides what needs an exact count
-SKETCH_ERROR = 0.01
+# the distinct sketch (2^14 registers) has a standard error below 1%; whatever lies within five
+# times that of a limit is counted exactly
+SKETCH_LOG_SIZE = 14
 SKETCH_MARGIN = 0.05
 # frequent-item sketch size; its error (< 0.5% of rows) cannot hide a value above 99%
 TOP_K_ITEMS = 1000
@@ -48,7 +49,9 @@ def _candidates(df: DataFrame, columns: list[str]) -> dict[str, dict]:
         cells += [
             F.count_if(q(c).isNull()).alias(f"null_{i}"),
             F.expr(f"approx_top_k({quoted(c)}, 1, {TOP_K_ITEMS})").alias(f"top_{i}"),
-            F.approx_count_distinct(q(c), SKETCH_ERROR).alias(f"distinct_{i}"),
+            F.hll_sketch_estimate(
+                F.hll_sketch_agg(F.when(q(c).isNotNull(), F.xxhash64(q(c))), SKETCH_LOG_SIZE)
+            ).alias(f"distinct_{i}"),
         ]
     row = df.agg(*cells).first()
     out = {}
@@ -59,7 +62,7 @@ def _candidates(df: DataFrame, columns: list[str]) -> dict[str, dict]:
             "n_null": row[f"null_{i}"],
             "item": top[0]["item"] if top else None,
             "top": top[0]["count"] if top else 0,
-            "distinct": row[f"distinct_{i}"],
+            "distinct": row[f"distinct_{i}"] or 0,
         }
     return out
 

@@ -7,14 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import of_kind, per_column, q, replace_columns
-from ..functions.dates import DATE_FORMATS, DATE_PARTS, date_parts, parsed
+from ..functions.dates import ANY_SHAPE, DATE_FORMATS, DATE_PARTS, date_parts, parsed
 
 NUMERIC_TEXT_LIMIT = 0.5
 DATE_LIMIT = 0.8
 DELIMITERS = ["/", "-", "_", "|"]
 CONSISTENT_LIMIT = 0.9
-# no accepted date format is longer than this, so longer values need no parsing attempt
-LONGEST_DATE = 40
 
 
 def _share(condition: Column) -> Column:
@@ -30,7 +28,7 @@ def _is_number(text: Column) -> Column:
 def text_kind_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, numeric_share, date_share, date_format, kind), two passes at most.
 
-    The cheap first pass (digits, length) keeps free text away from the format parsers.
+    `date_share` is NULL where too few rows have the shape of a date.
     """
     return df.sparkSession.createDataFrame(
         [(c, *facts) for c, facts in _text_kinds(df, columns).items()],
@@ -39,40 +37,36 @@ def text_kind_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _text_kinds(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """One regular expression over all shapes decides which columns are worth parsing."""
     if not columns:
         return {}
     looks = {
         "numeric": lambda c: _share(_is_number(q(c))),
-        "dateish": lambda c: _share(
-            (F.length(q(c)) <= LONGEST_DATE) & q(c).rlike("[0-9]{1,4}[^0-9].*[0-9]")
-        ),
+        "dateish": lambda c: _share(q(c).rlike(ANY_SHAPE)),
     }
     first = {r["column"]: r for r in per_column(df, columns, looks).collect()}
-    maybe = [
-        c
+    tries = [
+        (c, fmt)
         for c, r in first.items()
         if (r["numeric"] or 0) <= NUMERIC_TEXT_LIMIT and (r["dateish"] or 0) > DATE_LIMIT
+        for fmt in DATE_FORMATS
     ]
-    dates: dict[str, tuple[float, str | None]] = {c: (0.0, None) for c in columns}
-    if maybe:
-        tries = {
-            f"f{i}": lambda c, fmt=fmt: _share(parsed(q(c), fmt).isNotNull())
-            for i, fmt in enumerate(DATE_FORMATS)
-        }
-        for r in per_column(df, maybe, tries).collect():
-            best = max(range(len(DATE_FORMATS)), key=lambda i: (r[f"f{i}"], -i))
-            if r[f"f{best}"] > 0:
-                dates[r["column"]] = (r[f"f{best}"], DATE_FORMATS[best])
+    shares: dict[str, list[tuple[float, str]]] = {c: [] for c in columns}
+    if tries:
+        cells = [_share(parsed(q(c), f).isNotNull()).alias(f"s{i}") for i, (c, f) in enumerate(tries)]
+        for (c, f), share in zip(tries, df.agg(*cells).first()):
+            shares[c].append((share, f))
     out = {}
     for c in columns:
         numeric = first[c]["numeric"] or 0.0
-        share, fmt = dates[c]
+        # the first of equally good formats wins
+        share, fmt = max(shares[c], key=lambda s: s[0], default=(None, None))
         if numeric > NUMERIC_TEXT_LIMIT:
             kind = "numeric_text"
-        elif share > DATE_LIMIT:
+        elif share is not None and share > DATE_LIMIT:
             kind = "date"
         else:
-            kind = "text"
+            kind, fmt = "text", None
         out[c] = (numeric, share, fmt, kind)
     return out
 

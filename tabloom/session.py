@@ -48,3 +48,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, rows: int, rows_per_task: int = 50_000) -> DataFrame:
+    """Fewer partitions for few rows, so that iterating learners do not pay for empty tasks.
+
+    A no-op on large tables: partitions are only ever merged.
+    """
+    return df.coalesce(max(1, -(-rows // rows_per_task)))
