@@ -26,6 +26,8 @@ from .neighbours import BROADCAST_BYTES, knn, nearest, stack, vote
 from .split import simple_sample, with_folds
 from .target import CLASSIFICATION, REGRESSION
 
+# beyond this many rows the slow models are ranked on a sample (the linear SVM scales on Spark)
+SLOW_MODELS = ["knn"]
 SLOW_ROWS, SLOW_SAMPLE = 50_000, 20_000
 # MLlib trees stop at depth 30; forests get a lower ceiling in place of "unlimited"
 TREE_DEPTH, FOREST_DEPTH = 30, 10

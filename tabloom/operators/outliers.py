@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import per_column, q, replace_columns
 from ..functions.moments import adjusted_skew
 from ..functions.quantiles import quantiles
+from ..session import new_path
 from .impute import SKEW_LIMIT
 from .select import category_frequencies
 
@@ -96,7 +97,7 @@ class Outliers:
 
 
 def rare_values(
-    train: DataFrame, columns: list[str], lookup_dir: str | None = None
+    train: DataFrame, columns: list[str], inline: int = INLINE_RARE
 ) -> tuple[dict[str, list[str]], dict[str, str]]:
     """Short rare lists as literals, long ones written as lookup tables."""
     if not columns:
@@ -104,20 +105,16 @@ def rare_values(
     rare = rare_table(train, columns).persist()
     try:
         sizes = {r["column"]: r["count"] for r in rare.groupBy("column").count().collect()}
-        short = [c for c, n in sizes.items() if n <= INLINE_RARE]
-        inline: dict[str, list[str]] = {c: [] for c in short}
+        short = [c for c, n in sizes.items() if n <= inline]
+        lists: dict[str, list[str]] = {c: [] for c in short}
         if short:
             for r in rare.where(F.col("column").isin(short)).orderBy("column", "value").collect():
-                inline[r["column"]].append(r["value"])
+                lists[r["column"]].append(r["value"])
         tables = {}
-        for i, c in enumerate(sorted(set(sizes) - set(short))):
-            if lookup_dir is None:
-                from ..session import new_path
-
-                lookup_dir = new_path(train.sparkSession, "rare")
-            tables[c] = f"{lookup_dir}/column-{i}"
+        for c in sorted(set(sizes) - set(short)):
+            tables[c] = new_path(train.sparkSession, "rare")
             rare.where(F.col("column") == c).select("value").write.parquet(tables[c])
-        return inline, tables
+        return lists, tables
     finally:
         rare.unpersist()
 
