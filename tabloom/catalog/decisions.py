@@ -174,14 +174,14 @@ def final_choice(spark, sf_dir):
     return rounded(ev.final_choice(reduce(DataFrame.unionByName, stages)), 6, "score")
 
 
-_P1 = "least(greatest((price_twin - 1000) / 1000000, 0.0E0), 1.0E0)"
+_P1 = "least(greatest((price_twin - 1000) / 999983, 0.0E0), 1.0E0)"
 _P2 = "CASE WHEN shop % 2 = 0 THEN 0.7E0 ELSE 0.2E0 END"
 
 
 @check(
     "soft_vote",
     with_split(
-        f"""SELECT o_orderkey, round((1 - a + 1 - b) / 2, 6) AS p0, round((a + b) / 2, 6) AS p1,
+        f"""SELECT o_orderkey, round((1 - a + 1 - b) / 2, 5) AS p0, round((a + b) / 2, 5) AS p1,
         CAST(CASE WHEN (a + b) / 2 > (1 - a + 1 - b) / 2 THEN 1 ELSE 0 END AS BIGINT) AS prediction
         FROM (SELECT o_orderkey, {_P1} AS a, {_P2} AS b FROM s) x"""
     ),
@@ -192,7 +192,7 @@ def soft_vote(spark, sf_dir):
     out = ev.soft_vote(df, ["a", "b"])
     p = F.col("prediction_probability")
     out = out.select("o_orderkey", p[0].alias("p0"), p[1].alias("p1"), "prediction")
-    return whole(rounded(out, 6, "p0", "p1"), "prediction")
+    return whole(rounded(out, 5, "p0", "p1"), "prediction")
 
 
 @check(

@@ -44,8 +44,8 @@ def text_kind(spark, sf_dir):
 
 
 def _parts_sql(source: str, c: str) -> str:
-    return f"""CAST(year({source}) AS BIGINT) AS "{c}_Year", CAST(month({source}) AS BIGINT) AS "{c}_Month",
-        CAST(day({source}) AS BIGINT) AS "{c}_Day", CAST(isodow({source}) - 1 AS BIGINT) AS "{c}_DayOfWeek",
+    return f"""CAST(coalesce(year({source}), -1) AS BIGINT) AS "{c}_Year", CAST(coalesce(month({source}), -1) AS BIGINT) AS "{c}_Month",
+        CAST(coalesce(day({source}), -1) AS BIGINT) AS "{c}_Day", CAST(coalesce(isodow({source}) - 1, -1) AS BIGINT) AS "{c}_DayOfWeek",
         CAST(coalesce(CASE WHEN isodow({source}) >= 6 THEN 1 ELSE 0 END, 0) AS BIGINT) AS "{c}_Is_Weekend" """
 
 
@@ -56,7 +56,7 @@ def _parts_sql(source: str, c: str) -> str:
 def date_parts(spark, sf_dir):
     state = tf.TextFeatures(date_formats={"odate": "yyyy-M-d"})
     out = state.transform(messy(spark, sf_dir).select("o_orderkey", "odate"))
-    return whole(out, *[f"odate_{p}" for p in DATE_PARTS])
+    return whole(out.na.fill(-1), *[f"odate_{p}" for p in DATE_PARTS])
 
 
 @check("date_parts_native", f"SELECT l_orderkey, l_linenumber, {_parts_sql('l_shipdate', 'l_shipdate')} FROM lineitem")

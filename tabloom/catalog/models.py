@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -56,6 +57,16 @@ def _predictions(data: Frames, fitted) -> DataFrame:
     return fitted.transform(data.test).drop("features")
 
 
+@contextmanager
+def _cached(df: DataFrame):
+    """Learners pass over their rows many times."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 # models that iterate many times get fewer rounds here; the defaults are the library's
 _ROUNDS = {
     "adaboost": {"n_estimators": 10},
@@ -70,9 +81,9 @@ def _register(kind: str, target: str, names: list[str]) -> None:
 
         def query(spark, sf_dir, name=name):
             data = frames(spark, sf_dir, target)
-            train = data.train.persist()
-            job = data.job(calibration_folds=3)
-            return _predictions(data, ln.fit_learner(name, train, job, _ROUNDS.get(name)))
+            with _cached(data.train) as train:
+                fitted = ln.fit_learner(name, train, data.job(calibration_folds=3), _ROUNDS.get(name))
+            return _predictions(data, fitted)
 
         query.__name__ = f"{kind}_{name}"
         check(query.__name__)(query)
@@ -132,53 +143,62 @@ _QUICK = ["logistic_regression", "decision_tree", "knn"]
 @check("baseline_models")
 def baseline_models(spark, sf_dir):
     data = frames(spark, sf_dir, "y_bin")
-    results = search.run_baselines(data.train.persist(), data.test, data.job(), "accuracy", _QUICK)
+    with _cached(data.train) as train:
+        results = search.run_baselines(train, data.test, data.job(), "accuracy", _QUICK)
     return search.scores_table(spark, results)
 
 
 @check("random_search")
 def random_search(spark, sf_dir):
     data = frames(spark, sf_dir, "y_reg")
-    result = search.tune("ridge", data.train.persist(), data.test, data.job(), "r2", folds=3, points=4)
+    with _cached(data.train) as train:
+        result = search.tune("ridge", train, data.test, data.job(), "r2", folds=3, points=4)
     return search.scores_table(spark, [result])
 
 
-def _members(data: Frames, names: list[str], metric: str) -> list[search.Result]:
-    return search.rank(search.run_baselines(data.train.persist(), data.test, data.job(), metric, names))
+def _members(data: Frames, train: DataFrame, names: list[str], metric: str) -> list[search.Result]:
+    return search.rank(search.run_baselines(train, data.test, data.job(), metric, names))
+
+
+_QUICK_NUMBERS = ["linear_regression", "ridge", "decision_tree"]
+
+
+def _ensemble(spark, sf_dir, target: str, names: list[str], metric: str, stacked: bool) -> DataFrame:
+    data = frames(spark, sf_dir, target)
+    with _cached(data.train) as train:
+        members = _members(data, train, names, metric)
+        if stacked:
+            fitted = search.build_stacking(members, train, data.job())
+        else:
+            fitted = search.build_voting(members, data.job())
+    return _predictions(data, fitted)
 
 
 @check("voting_classifier")
 def voting_classifier(spark, sf_dir):
-    data = frames(spark, sf_dir, "y_bin")
-    return _predictions(data, search.build_voting(_members(data, _QUICK, "accuracy"), data.job()))
+    return _ensemble(spark, sf_dir, "y_bin", _QUICK, "accuracy", stacked=False)
 
 
 @check("voting_regressor")
 def voting_regressor(spark, sf_dir):
-    data = frames(spark, sf_dir, "y_reg")
-    members = _members(data, ["linear_regression", "ridge", "decision_tree"], "r2")
-    return _predictions(data, search.build_voting(members, data.job()))
+    return _ensemble(spark, sf_dir, "y_reg", _QUICK_NUMBERS, "r2", stacked=False)
 
 
 @check("stacking_classifier")
 def stacking_classifier(spark, sf_dir):
-    data = frames(spark, sf_dir, "y_bin")
-    members = _members(data, _QUICK, "accuracy")
-    return _predictions(data, search.build_stacking(members, data.train.persist(), data.job()))
+    return _ensemble(spark, sf_dir, "y_bin", _QUICK, "accuracy", stacked=True)
 
 
 @check("stacking_regressor")
 def stacking_regressor(spark, sf_dir):
-    data = frames(spark, sf_dir, "y_reg")
-    members = _members(data, ["linear_regression", "ridge", "decision_tree"], "r2")
-    return _predictions(data, search.build_stacking(members, data.train.persist(), data.job()))
+    return _ensemble(spark, sf_dir, "y_reg", _QUICK_NUMBERS, "r2", stacked=True)
 
 
 @check("model_save_load")
 def model_save_load(spark, sf_dir):
     data = frames(spark, sf_dir, "y_bin")
     path = new_path(spark, "model")
-    ln.fit_learner("decision_tree", data.train.persist(), data.job(), {"max_depth": 5}).save(path)
+    ln.fit_learner("decision_tree", data.train, data.job(), {"max_depth": 5}).save(path)
     return _predictions(data, ln.load_model(spark, path))
 
 

@@ -52,7 +52,7 @@ def smote(
                 made.select(
                     _own_key(df, key).alias(key),
                     F.lit(value).cast(df.schema[label].dataType).alias(label),
-                    q("vector").cast(df.schema[vector].dataType).alias(vector),
+                    q("vector").cast(df.schema[vector].dataType.simpleString()).alias(vector),
                     F.lit(True).alias("_synthetic"),
                 )
             )

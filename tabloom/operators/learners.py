@@ -132,7 +132,7 @@ def _class_estimator(name: str, train: DataFrame, job: Job, params: dict):
         )
     if name in ("gradient_boosting", "gbt_hist"):
         boost = mlc.GBTClassifier(seed=job.seed, **_boost_params(name, params), **common)
-        return boost if job.n_classes <= 2 else mlc.OneVsRest(classifier=boost, **common)
+        return boost if job.n_classes <= 2 else mlc.OneVsRest(classifier=boost, parallelism=job.parallelism, **common)
     raise KeyError(name)
 
 
@@ -281,9 +281,9 @@ def _fit_svc(train: DataFrame, job: Job, params: dict) -> CalibratedSvc:
 
     def estimator(rows: int):
         svc = mlc.LinearSVC(
-            maxIter=100, tol=1e-4, regParam=1 / (params.get("C", 1) * rows), standardization=False, **common, **weight
+            maxIter=100, tol=1e-3, regParam=1 / (params.get("C", 1) * rows), standardization=False, **common, **weight
         )
-        return svc if job.n_classes == 2 else mlc.OneVsRest(classifier=svc, **common, **weight)
+        return svc if job.n_classes == 2 else mlc.OneVsRest(classifier=svc, parallelism=job.parallelism, **common, **weight)
 
     n = train.count()
     folded = with_folds(train, "_row_id", job.calibration_folds, "_label", job.seed, "_calibration").persist()
