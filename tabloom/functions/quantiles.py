@@ -17,6 +17,8 @@ from .columns import q
 
 SKETCH_ACCURACY = 10_000
 GRID_STEPS = 256
+# every pass keeps at most a few of the 256 grid steps, so 2^63 rows need under ten
+MAX_PASSES = 30
 
 
 @dataclass
@@ -80,8 +82,13 @@ def _refined(
                     (c, rank),
                     _Search(c, rank, math.nextafter(first[f"lo_{v}"], -math.inf), math.nextafter(first[f"hi_{v}"], math.inf)),
                 )
-    while open_searches := [s for s in searches.values() if s.answer is None]:
+    for _ in range(MAX_PASSES):
+        open_searches = [s for s in searches.values() if s.answer is None]
+        if not open_searches:
+            break
         _narrow(values, name, open_searches, fetch)
+    else:
+        raise RuntimeError("quantile search did not converge")
     out: dict[str, list[float | None]] = {}
     for c in columns:
         out[c] = []
@@ -121,6 +128,8 @@ def _narrow(values: DataFrame, name: dict[str, str], searches: list[_Search], fe
             s.answer = s.high
         elif size <= fetch:
             fetches.setdefault(i, []).append((s, offset))
+        elif row[f"grid_{i}"][0] == row[f"grid_{i}"][-1]:
+            s.answer = row[f"grid_{i}"][0]  # the ends of the grid are the extremes: all values equal
         else:
             # The sketch is off by at most size/accuracy ranks; one grid step is far wider.
             # Grid points are values of the column, so an edge can itself be the answer; only
