@@ -155,11 +155,11 @@ def _fence_sql(c: str, source: str) -> str:
 
 @check(
     "iqr_bounds",
-    f"""SELECT "column", round(lower, 4) + 0.0 AS lower, round(upper, 4) + 0.0 AS upper
+    f"""SELECT "column", round(lower, 6) + 0.0 AS lower, round(upper, 6) + 0.0 AS upper
         FROM ({union_all([_fence_sql(c, 'lineitem') for c in _WIDE])}) x WHERE spread <> 0""",
 )
 def iqr_bounds(spark, sf_dir):
-    return rounded(ou.iqr_table(table(spark, sf_dir, "lineitem"), _WIDE), 4, "lower", "upper")
+    return rounded(ou.iqr_table(table(spark, sf_dir, "lineitem"), _WIDE), 6, "lower", "upper")
 
 
 @check(
