@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .decontam import op9_ngram_hash_set
 from .mixing import op7_golden_schedule
+from .rules import op3_risk_controlled_rules
 from .sharding import op8_virtual_slots
 
 QUERIES = {
+    "op3_risk_controlled_rules": op3_risk_controlled_rules,
     "op7_golden_schedule": op7_golden_schedule,
     "op8_virtual_slots": op8_virtual_slots,
+    "op9_ngram_hash_set": op9_ngram_hash_set,
 }
 
 SQL: dict[str, str] = {}
