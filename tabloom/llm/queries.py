@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import op9_ngram_hash_set
 from .mixing import op7_golden_schedule
 from .rules import op3_risk_controlled_rules
+from .tokens import op10_zstd_dictionary_shards
 from .sharding import op8_virtual_slots
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_golden_schedule": op7_golden_schedule,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_ngram_hash_set": op9_ngram_hash_set,
+    "op10_zstd_dictionary_shards": op10_zstd_dictionary_shards,
 }
 
 SQL: dict[str, str] = {}
