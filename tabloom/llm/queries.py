@@ -7,9 +7,11 @@ from .mixing import op7_golden_schedule
 from .rules import op3_risk_controlled_rules
 from .tokens import op10_zstd_dictionary_shards
 from .sharding import op8_virtual_slots
+from .warc import op6_gzip_member_records
 
 QUERIES = {
     "op3_risk_controlled_rules": op3_risk_controlled_rules,
+    "op6_gzip_member_records": op6_gzip_member_records,
     "op7_golden_schedule": op7_golden_schedule,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_ngram_hash_set": op9_ngram_hash_set,
