@@ -75,9 +75,9 @@ class Scratch:
         self.spark = spark
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .brown import op1_brown_bigram
 from .decontam import op9_ngram_hash_set
 from .mixing import op7_golden_schedule
 from .rules import op3_risk_controlled_rules
@@ -10,6 +11,7 @@ from .sharding import op8_virtual_slots
 from .warc import op6_gzip_member_records
 
 QUERIES = {
+    "op1_brown_bigram": op1_brown_bigram,
     "op3_risk_controlled_rules": op3_risk_controlled_rules,
     "op6_gzip_member_records": op6_gzip_member_records,
     "op7_golden_schedule": op7_golden_schedule,
