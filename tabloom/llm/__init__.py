@@ -1,8 +1 @@
 """Operators of a training-data pipeline; nothing else in the library imports this package."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Workers may not have the package on their path: ship its functions with the tasks.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

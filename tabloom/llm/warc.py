@@ -11,14 +11,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, attempt_name, file_system, new_folder, read
+from .common import Scratch, attempt_name, file_system, join_repeated, new_folder, read
 
 ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Digests with at least this share of the rows are joined by broadcast; there are at most 1 / HOT of them.
-HOT = 0.001
 
 
 def digest_of(data: bytes) -> str:
@@ -107,28 +105,17 @@ def page_of(fields: dict[str, str], block: bytes) -> tuple:
 
 
 def with_first(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """Add `_first`: the smallest page_id of rows with the same payload, null if there is no other row.
-
-    Only digests seen twice are joined. Those with at least HOT of all rows are few by
-    arithmetic and broadcast; their rows get keys of their own in the shuffled join of the rest.
-    """
-    keyed = pages.withColumn("_digest", F.sha2("_payload", 256)).withColumn("_size", F.octet_length("_payload"))
+    """Add `_first`: the smallest page_id of rows with the same payload, null if there is no other row."""
+    keyed = pages.withColumn("_digest", F.unhex(F.sha2("_payload", 256)))
     groups = Scratch(pages.sparkSession).keep(
-        keyed.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"), F.first("_size").alias("_size")),
+        keyed.groupBy("_digest").agg(
+            F.min("page_id").alias("_first"), F.count("*").alias("_n"), F.first(F.octet_length("_payload")).alias("_size")
+        ),
         "warc-digests",
     )
-    total = groups.agg(F.sum("_n")).first()[0] or 0
-    repeated = groups.where((F.col("_n") > 1) & (F.col("_size") >= min_bytes) & F.col("_first").isNotNull())
-    hot = repeated.where(F.col("_n") >= HOT * total).select("_digest", F.col("_first").alias("_hot"))
-    cold = repeated.where(F.col("_n") < HOT * total).select(F.col("_digest").alias("_key"), F.col("_first").alias("_cold"))
-    own = F.concat(F.lit("~"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("~"), F.xxhash64("url").cast("string"))
-    return (
-        keyed.join(F.broadcast(hot), "_digest", "left")
-        .withColumn("_key", F.when(F.col("_hot").isNotNull(), own).otherwise(F.col("_digest")))
-        .join(cold, "_key", "left")
-        .withColumn("_first", F.coalesce("_hot", "_cold"))
-        .select("page_id", "url", "_payload", "_first")
-    )
+    repeated = groups.where((F.col("_n") > 1) & (F.col("_size") >= min_bytes)).select("_digest", "_first", "_n")
+    own = F.concat_ws("~", F.col("page_id").cast("string"), F.col("url"))
+    return join_repeated(keyed, repeated, "_digest", "_n", own).select("page_id", "url", "_payload", "_first")
 
 
 MANIFEST = "path string, n_records long, n_bytes long"
