@@ -5,6 +5,7 @@ from __future__ import annotations
 from .brown import op1_brown_bigram
 from .decontam import op9_ngram_hash_set
 from .jaccard import op4_signature_tree_join
+from .lines import op5_segment_edit_join
 from .mixing import op7_golden_schedule
 from .rules import op3_risk_controlled_rules
 from .tokens import op10_zstd_dictionary_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_brown_bigram": op1_brown_bigram,
     "op3_risk_controlled_rules": op3_risk_controlled_rules,
     "op4_signature_tree_join": op4_signature_tree_join,
+    "op5_segment_edit_join": op5_segment_edit_join,
     "op6_gzip_member_records": op6_gzip_member_records,
     "op7_golden_schedule": op7_golden_schedule,
     "op8_virtual_slots": op8_virtual_slots,
