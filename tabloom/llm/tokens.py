@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -22,8 +23,8 @@ SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
 SHARD_BYTES = 128 << 20
 #: UTF-8 bytes of text per writing task, so that remembered stretches pay and the memory of a task stays bounded.
-TASK_BYTES = 48 << 20
-CACHE_ENTRIES = 600_000
+TASK_BYTES = 64 << 20
+CACHE_ENTRIES = 700_000
 
 # Shard layout, little-endian:
 #   header  magic, id width in bytes (u8), SHA-256 of the dictionary (32 bytes; of nothing if there is none)
@@ -37,7 +38,7 @@ HEADER_SIZE = struct.calcsize(HEADER)
 FOOTER_SIZE = struct.calcsize(FOOTER)
 
 
-MARKS = tuple(".,;:!?")
+MARKS = frozenset(".,;:!?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -54,16 +55,44 @@ def spelt_bytes(text: str) -> str:
     return text.encode("utf-8").decode("latin-1").translate(LETTERS)
 
 
+RUNS = re.compile(r"[^\W\d_]+|[!-/:-@\[-`{-~]+|\n")
+#: Characters besides the space that the splitter may take for space.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+class Remembered(dict):
+    """Results by key; beyond CACHE_ENTRIES the older half is forgotten."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def odd_spaces(text: str) -> bool:
+    """Whether a space stands at the end or beside another space."""
+    if "  " in text or text.endswith(" "):
+        return True
+    return any(c in text and (" " + c in text or c + " " in text) for c in SPACES)
+
+
 class Encoder:
     """Whole texts to packed ids with the tokenizers library.
 
     Byte-level tokenizers split a text before every single space between two other characters,
     whatever follows, so the stretches between such spaces are encoded once each and
-    remembered (at most CACHE_ENTRIES). Other tokenizers encode every text as it is.
+    remembered (at most twice CACHE_ENTRIES). Other tokenizers encode every text as it is.
     Spellings of special tokens in a text are ordinary text.
     """
 
-    ODD = re.compile(r"\s | \s| \Z")
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -81,61 +110,77 @@ class Encoder:
             and self.tokenizer.normalizer is None
         )
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
-        encoder = self
-
-        class Stretches(dict):
-            def __missing__(self, stretch: str) -> bytes:
-                if len(self) >= CACHE_ENTRIES:
-                    self.clear()
-                self[stretch] = ids = encoder.stretch(" " + stretch)
-                return ids
-
-        self.known = Stretches()
+        self.known = Remembered(lambda word: self.stretch(word, True))
+        letter = "H" if self.dtype.itemsize == 2 else "I"
+        self.packers = [struct.Struct(f"<{n}{letter}").pack for n in range(64)]
+        self.bare = Remembered(lambda word: self.letters(word, False))
+        self.marks = Remembered(lambda run: self.piece(spelt_bytes(run)))
 
     def pack(self, ids) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+        return self.packers[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype=self.dtype).tobytes()
 
     def piece(self, spelt: str) -> bytes:
-        ids = self.pieces.get(spelt)
-        if ids is None:
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            self.pieces[spelt] = ids = self.pack([t.id for t in self.tokenizer.model.tokenize(spelt)])
-        return ids
+        return self.pack([t.id for t in self.tokenizer.model.tokenize(spelt)])
 
-    def stretch(self, text: str) -> bytes:
-        """One stretch; a word of letters, also with one mark behind it, needs no splitter."""
-        word = text[1:] if text[:1] == " " else text
+    def stretch(self, word: str, spaced: bool) -> bytes:
+        """One stretch. Runs of letters, of ASCII marks and single line ends are the pieces the
+        splitter would make of it; anything else is left to the splitter."""
         if word.isalpha():
-            return self.piece(spelt_bytes(text))
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            return self.piece(spelt_bytes(text[:-1])) + self.piece(word[-1])
-        return b"".join(self.piece(spelt) for spelt, _ in self.split(text))
+            return self.letters(word, spaced)
+        if spaced and word[-1:] in MARKS and word[:-1].isalpha():
+            return self.known[word[:-1]] + self.marks[word[-1]]
+        runs = RUNS.findall(word)
+        simple = "'" not in word and "\n\n" not in word and "".join(runs) == word
+        if not simple or not all(r.isascii() or r.isalpha() for r in runs) or (spaced and runs[0] == "\n"):
+            return b"".join(self.piece(spelt) for spelt, _ in self.split(" " + word if spaced else word))
+        out = []
+        for run in runs:
+            if run.isalpha():
+                out.append(self.known[run] if spaced else self.bare[run])
+            else:
+                out.append(self.piece(LETTERS[32] + run) if spaced else self.marks[run])
+            spaced = False
+        return b"".join(out)
+
+    def letters(self, word: str, spaced: bool) -> bytes:
+        spelt = word if word.isascii() else spelt_bytes(word)
+        return self.piece(LETTERS[32] + spelt if spaced else spelt)
 
     def encode(self, text: str) -> bytes:
         if not self.byte_level:
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        first, *rest = self.SAFE.split(text) if self.ODD.search(text) else text.split(" ")
-        return self.stretch(first) + b"".join(map(self.known.__getitem__, rest))
+        first, *rest = self.SAFE.split(text) if odd_spaces(text) else text.split(" ")
+        return self.stretch(first, False) + b"".join(map(self.known.__getitem__, rest))
+
+
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process, so that tasks after the first find stretches remembered."""
+    return Encoder(path)
 
 
 def codec(dictionary: bytes):
     import zstandard as zstd
 
-    return zstd.ZstdCompressionDict(dictionary) if dictionary else None
+    if not dictionary:
+        return None
+    trained = zstd.ZstdCompressionDict(dictionary)
+    trained.precompute_compress(level=LEVEL)
+    return trained
 
 
-def train_dictionary(docs: DataFrame, path: str) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, rows: int) -> bytes:
     """A dictionary from a bounded, hash-ordered sample; empty where there is too little to learn from."""
     import zstandard as zstd
 
+    thin = max(1, rows // (4 * SAMPLE_DOCS))  # about 4 x SAMPLE_DOCS rows are sorted
     sample = (
         docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES))
-        .orderBy(F.xxhash64("doc_id", "text"), "text")
+        .where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(thin)) == 0)
+        .orderBy(F.xxhash64("text", "doc_id"), "text")
         .limit(SAMPLE_DOCS)
     )
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     arrays = [encoder.encode(r["text"]) for r in sample.select("text").collect()]
     try:
         return zstd.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
@@ -156,16 +201,16 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, folder: str |
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
-    dictionary = train_dictionary(texts, path)
+    rows, total = texts.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    dictionary = train_dictionary(texts, path, rows)
     digest = hashlib.sha256(dictionary).digest()
     fs, place = file_system(folder)
     fs.create_dir(place, recursive=True)
     with fs.open_output_stream(f"{place}/dictionary-{digest.hex()}") as out:
         out.write(dictionary)
-    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ordered = (
         texts.withColumn("_tie", F.xxhash64("text"))
-        .repartitionByRange(max(1, -(-total // TASK_BYTES)), "doc_id", "_tie")
+        .repartitionByRange(max(1, -(-(total or 0) // TASK_BYTES)), "doc_id", "_tie")
         .sortWithinPartitions("doc_id", "_tie", "text")
         .drop("_tie")
     )
@@ -175,7 +220,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, folder: str |
         from pyspark import TaskContext
 
         fs, place = file_system(folder)
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = encoder.pack([end_id])
         press = zstd.ZstdCompressor(level=LEVEL, dict_data=codec(dictionary))
         part, roll, out, entries, offsets, name = TaskContext.get().partitionId(), 0, None, [], [], ""
