@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .brown import op1_brown_bigram
+from .cotrain import op2_co_training
 from .decontam import op9_ngram_hash_set
 from .jaccard import op4_signature_tree_join
 from .lines import op5_segment_edit_join
@@ -14,6 +15,7 @@ from .warc import op6_gzip_member_records
 
 QUERIES = {
     "op1_brown_bigram": op1_brown_bigram,
+    "op2_co_training": op2_co_training,
     "op3_risk_controlled_rules": op3_risk_controlled_rules,
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_segment_edit_join": op5_segment_edit_join,
