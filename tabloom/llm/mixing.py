@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch, join_small, read, running_start, text_of, words_of
 
@@ -67,26 +67,53 @@ def slot_schedule(spark: SparkSession, targets: DataFrame, slots: int) -> DataFr
     return running_start(dealt, "source_rank", "_chunk", ["slot"], "_one", "block").select("slot", "source_rank", "block")
 
 
-def mix(docs: DataFrame, seed: int = 7, slots: int = SLOTS, text: bool = False) -> tuple[DataFrame, DataFrame]:
+def row_key() -> Column:
+    """Names a row by what the mix reads of it; equal rows share it."""
+    return F.xxhash64("doc_id", "source", text_of(F.col("text")))
+
+
+def taken_rows(docs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The mix as rows of `docs`: one per document and pass, columns unchanged but text and n_chars.
+
+    A whole pass keeps its text. Where a source's last block ends inside a document the row
+    holds the words taken, one space between them. Texts are shuffled once.
+    """
+    passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)).alias("_pass")
+    rows = documents.where("taken > 0").select("row_key", "size", "taken", passes)
+    rows = rows.select("row_key", "size", F.least("size", F.col("taken") - F.col("_pass") * F.col("size")).alias("_n"))
+    keyed = docs.select(row_key().alias("row_key"), F.struct("*").alias("_row")).dropDuplicates(["row_key"])
+    joined = keyed.join(rows, "row_key")
+    part = F.array_join(F.slice(words_of(F.col("_row.text")), F.lit(1), F.col("_n").cast("int")), " ")
+    whole = F.col("_n") == F.col("size")
+    new = {
+        "text": F.when(whole, F.col("_row.text")).otherwise(part),
+        "n_chars": F.when(whole, F.col("_row.n_chars")).otherwise(F.length(part).cast("long")) if "n_chars" in docs.columns else None,
+    }
+    return joined.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def mix(docs: DataFrame, seed: int = 7, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """Mix all documents; returns (documents, pieces).
 
     Each source's documents are put in a seeded hash order and read as one stream of words,
     twice if need be, cut into blocks of equal words. The k-th slot of a source takes the k-th
     block. `slots` bounds the schedule; the words of a block follow from the total.
 
-    documents: doc_id, source, size, source_size, target, taken (words in scheduled blocks).
+    documents: doc_id, source, row_key, size, source_size, target, taken (words in scheduled
+    blocks; a stream is taken from its front, so they are whole passes and then first words).
     pieces: slot, doc_id, source, epoch (0 or 1), first_word, n_words, in no order; `slot` is
     the place in the mix.
     Null texts and texts without words have size 0 and are taken 0 times; null sources form
-    the last source; repeated rows are separate documents; an empty table gives no rows. With
-    `text` the documents also carry their text. Other columns of `docs` are not read.
+    the last source; repeated rows are separate documents; an empty table gives no rows. Other columns of
+    `docs` are not read.
     """
     spark = docs.sparkSession
     body = text_of(F.col("text"))
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    kept = ["doc_id", "source"] + (["text"] if text else [])
+    kept = ["doc_id", "source", "row_key"]
+    size = F.size(words_of(body)).cast("long")
     sized = Scratch(spark).keep(
-        docs.select(*kept, F.size(words_of(body)).cast("long").alias("size"), place.alias("_place")), "mix-sizes"
+        docs.select("doc_id", "source", row_key().alias("row_key"), size.alias("size"), place.alias("_place")), "mix-sizes"
     )
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = Scratch(spark).keep(source_targets(sums), "mix-targets")

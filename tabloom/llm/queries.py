@@ -13,7 +13,15 @@ from .tokens import op10_zstd_dictionary_shards
 from .sharding import op8_virtual_slots
 from .warc import op6_gzip_member_records
 
+def pipeline(spark, sf_dir):
+    """corpus_pipeline.run; imported late, as the stages import this package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_brown_bigram": op1_brown_bigram,
     "op2_co_training": op2_co_training,
     "op3_risk_controlled_rules": op3_risk_controlled_rules,

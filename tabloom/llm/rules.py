@@ -74,8 +74,11 @@ def measured(docs: DataFrame, kept: list[Column]) -> DataFrame:
         "n_capitals": F.length(text) - without(UPPER),
     }
     names = [c for c in df.columns if not c.startswith("_") or c in ("_row", "_stratum")]
-    df = df.select(*names, *[v.cast("long").alias(k) for k, v in columns.items()])
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # A row number keeps filters on the verdict above this projection; pushed below it they would
+    # repeat the nested array expressions.
+    barrier = F.monotonically_increasing_id().alias("_row_no")
+    df = df.select(*names, *[v.cast("long").alias(k) for k, v in columns.items()], barrier)
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")) | (F.col("_row_no") < 0)
     df = df.withColumn("base_failed", failed)
     values = {f"_v_{name}": F.when(F.col("n_words") > 0, F.expr(measure)) for name, (measure, _) in RULES.items()}
     return df.withColumns(values)
@@ -163,7 +166,7 @@ def with_verdict(df: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return (
         joined.withColumn("rejected_by", rejected)
         .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
-        .drop(*[f"_c_{name}" for name in RULES], *[f"_v_{name}" for name in RULES])
+        .drop("_row_no", *[f"_c_{name}" for name in RULES], *[f"_v_{name}" for name in RULES])
     )
 
 
