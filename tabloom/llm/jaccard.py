@@ -22,6 +22,8 @@ from .components import components
 PERCENT = 90
 WIDTH = 3
 FANOUT = 8
+#: Parts beyond the fewest that would do; see part_keys.
+SPARE = 3
 #: Shingles and sets of a block that one task holds; larger blocks are cut into pairs of sub-trees.
 TASK_SHINGLES = 4_000_000
 TASK_SETS = 8192
@@ -66,10 +68,10 @@ class Shingler:
 
 
 def bands(most: int) -> list[int]:
-    """First sizes of the size bands, each half as large again as the one before."""
+    """First sizes of the size bands, each a third larger than the one before."""
     firsts = [1]
     while firsts[-1] <= most:
-        firsts.append(max(firsts[-1] + 1, firsts[-1] * 3 // 2))
+        firsts.append(max(firsts[-1] + 1, firsts[-1] * 4 // 3))
     return firsts
 
 
@@ -77,28 +79,37 @@ FIRSTS = np.array(bands(1 << 40), dtype=np.int64)
 
 
 def schemes(size: int, percent: int) -> list[tuple[int, int]]:
-    """(band, parts) by which a set of `size` is cut: its own, and the one below if a smaller partner may lie there.
+    """(band, most differences) by which a set of `size` is cut: its own band's, and that of the one
+    below if a smaller partner may lie there.
 
     Similar sets of sizes a <= b differ in at most (a + b)(100 - p) / (100 + p) shingles, and
-    b <= 100 a / p makes that a (100 - p) / p. So one part more than that, for the largest a of
-    the band, leaves a part on which they agree.
+    b <= 100 a / p makes that a (100 - p) / p, largest for the last size of the band.
     """
     own = int(np.searchsorted(FIRSTS, size, side="right")) - 1
     out = [own]
     if own and -(-percent * size // 100) < FIRSTS[own]:
         out.append(own - 1)
-    return [(band, int(FIRSTS[band + 1] - 1) * (100 - percent) // percent + 1) for band in out]
+    return [(band, int(FIRSTS[band + 1] - 1) * (100 - percent) // percent) for band in out]
 
 
 def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """One key per part of each scheme: equal for sets that agree on the part."""
+    """One key per part of each scheme: equal for sets that agree on the part.
+
+    With `most` differences and most + 1 + SPARE parts, similar sets agree on more than SPARE
+    parts. If either has at most SPARE empty parts, one of those is not empty; so only sets with
+    more empty parts give keys for these, which would else bring unlike sets together.
+    """
     keys = []
     with np.errstate(over="ignore"):
         mixed = finished(shingles * M3)
-        for band, parts in schemes(len(shingles), percent):
+        for band, most in schemes(len(shingles), percent):
+            parts = most + 1 + SPARE if most else 1
             sums = np.zeros(parts, dtype=np.uint64)
-            np.add.at(sums, (shingles >> np.uint64(20)) % np.uint64(parts), mixed)
-            keys.append(finished(finished(sums + np.arange(parts, dtype=np.uint64) * M1) + np.uint64(band) * M2))
+            place = ((shingles >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+            np.add.at(sums, place, mixed)
+            named = finished(finished(sums + np.arange(parts, dtype=np.uint64) * M1) + np.uint64(band) * M2)
+            filled = np.bincount(place, minlength=parts) > 0
+            keys.append(named if (~filled).sum() > SPARE else named[filled])
     return np.concatenate(keys).view(np.int64)
 
 
