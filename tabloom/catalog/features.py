@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q
 from ..functions.dates import DATE_PARTS
+from ..plans.prepare import content_id
 from ..operators import encode as en, impute as im, outliers as ou, textfeat as tf
 from .fixtures import (
     messy, rounded, split, table, train_rows, union_all, whole, with_messy, with_split,
@@ -306,6 +307,41 @@ def one_hot(spark, sf_dir):
     return whole(state.transform(df).select("o_orderkey", *[q(c) for c in state.outputs]), *state.outputs)
 
 
+_CLASHING = [
+    "CASE o_orderkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'yes' ELSE 'No' END AS flag",
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'b_c' ELSE 'x' END AS a",
+    "CASE WHEN o_orderkey % 5 = 0 THEN 'c' ELSE 'B_C' END AS a_b",
+]
+
+
+@check(
+    "one_hot_collisions",
+    f"""WITH d AS (SELECT o_orderkey, {", ".join(_CLASHING)} FROM orders)
+    SELECT o_orderkey, CAST(flag = 'No' AS BIGINT) AS "flag_No", CAST(flag = 'Yes' AS BIGINT) AS "flag_Yes",
+        CAST(flag = 'yes' AS BIGINT) AS "flag_yes~2", CAST(a = 'b_c' AS BIGINT) AS "a_b_c", CAST(a = 'x' AS BIGINT) AS "a_x",
+        CAST(a_b = 'B_C' AS BIGINT) AS "a_b_B_C", CAST(a_b = 'c' AS BIGINT) AS "a_b_c~2" FROM d""",
+)
+def one_hot_collisions(spark, sf_dir):
+    """Levels that differ in case, and columns whose level names run into each other."""
+    df = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *_CLASHING, "CAST(o_custkey % 2 AS DOUBLE) AS y")
+    state = en.fit_encoder(df, [], ["flag", "a", "a_b"], "y")
+    return whole(state.transform(df).select("o_orderkey", *[q(c) for c in state.outputs]), *state.outputs)
+
+
+@check(
+    "null_shifted_ids",
+    "SELECT 2 * count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders)",
+)
+def null_shifted_ids(spark, sf_dir):
+    """Rows whose values are the same but stand in other columns have identities of their own."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").distinct()
+    none = F.lit(None).cast("long")
+    rows = orders.select(F.col("o_custkey").alias("a"), none.alias("b"), F.col("o_orderkey").alias("c")).unionByName(
+        orders.select(none.alias("a"), F.col("o_custkey").alias("b"), F.col("o_orderkey").alias("c"))
+    )
+    return rows.select(F.count_distinct(content_id(rows)).alias("n"))
+
+
 @check(
     "zscore",
     with_split(

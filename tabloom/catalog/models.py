@@ -72,7 +72,6 @@ _ROUNDS = {
     "adaboost": {"n_estimators": 10},
     "gradient_boosting": {"n_estimators": 10},
     "gbt_hist": {"n_estimators": 5},
-    "random_forest": {"n_estimators": 20},
 }
 
 
@@ -82,7 +81,7 @@ def _register(kind: str, target: str, names: list[str]) -> None:
         def query(spark, sf_dir, name=name):
             data = frames(spark, sf_dir, target)
             with _cached(data.train) as train:
-                fitted = ln.fit_learner(name, train, data.job(calibration_folds=3), _ROUNDS.get(name))
+                fitted = ln.fit_learner(name, train, data.job(), _ROUNDS.get(name))
             return _predictions(data, fitted)
 
         query.__name__ = f"{kind}_{name}"
@@ -206,7 +205,7 @@ def model_save_load(spark, sf_dir):
 
 
 def _preparer(target: str, **options) -> Preparer:
-    settings = {"key_cols": ["o_orderkey"], "leakage_cols": ["price_twin"], "trees": 10, **options}
+    settings = {"key_cols": ["o_orderkey"], "leakage_cols": ["price_twin"], **options}
     return Preparer(target, **settings)
 
 
@@ -244,7 +243,7 @@ def _fence(c: str) -> str:
 def score_features(spark, sf_dir):
     """Fit on the split's training rows, apply to every raw row."""
     df = messy(spark, sf_dir).select("o_orderkey", *_SCORED, "y_reg")
-    model = _preparer("y_reg", leakage_cols=[], top_n=99, trees=3).fit(df).model
+    model = _preparer("y_reg", leakage_cols=[], top_n=99).fit(df).model
     out = model.features(df.drop("y_reg"), ["o_orderkey"])
     return rounded(out, 5, *_SCORED)
 

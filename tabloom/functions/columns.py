@@ -29,6 +29,20 @@ def q(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def fresh_names(wanted: list[str], taken: Iterable[str]) -> list[str]:
+    """The wanted names, numbered where Spark, which ignores case, would take one for another."""
+    used = {name.lower() for name in taken}
+    out = []
+    for name in wanted:
+        fresh, n = name, 1
+        while fresh.lower() in used:
+            n += 1
+            fresh = f"{name}~{n}"
+        used.add(fresh.lower())
+        out.append(fresh)
+    return out
+
+
 def kinds(df: DataFrame, skip: Iterable[str] = ()) -> dict[str, str]:
     """Map each column to numeric / text / boolean / time; any other type is refused."""
     out: dict[str, str] = {}

@@ -17,9 +17,9 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(seeded_md5(key, seed), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Row identity from content, for tables without a key."""
-    return F.xxhash64(*[q(c) for c in (columns or df.columns)])
+def null_flags(columns: list[str]) -> Column:
+    """Which of the columns are null, as text: Spark's hashes skip nulls, so content hashes need it too."""
+    return F.concat(*[F.when(q(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])
 
 
 def prefix_digits(rows: int, rows_per_bucket: int) -> int:
@@ -38,12 +38,14 @@ def hash_rank(
     out: str = "_rank",
     rows_per_bucket: int = 100_000,
     rows: int | None = None,
+    most: Column | int | None = None,
 ) -> DataFrame:
     """Exact 1-based rank by (seeded hash, key), within `by` if given.
 
     No group is ever sorted in one task: rows are ranked inside (group, hash prefix) buckets
     and every bucket is shifted by the size of the buckets before it, so one class holding most
-    of the table still spreads over 16^digits tasks.
+    of the table still spreads over 16^digits tasks. With `most` only ranks up to it are kept,
+    and buckets beyond it are left out before anything is shuffled.
     """
     by = by or []
     rows = df.count() if rows is None else rows
@@ -70,9 +72,15 @@ def hash_rank(
     for i, c in enumerate(by):
         match = match & q(c).eqNullSafe(F.col(f"_by_{i}"))
     inside = Window.partitionBy(*group, "_bucket").orderBy("_hash", q(key))
+    joined = hashed.join(shifts, match)
+    if most is not None:
+        most = F.lit(most) if isinstance(most, int) else most
+        joined = joined.where(F.col("_shift") < most)
     ranked = (
-        hashed.join(shifts, match)
+        joined
         .withColumn(out, F.row_number().over(inside).cast("long") + F.col("_shift"))
         .drop("_hash", "_bucket", "_shift", "_shift_bucket", *[f"_by_{i}" for i in range(len(by))])
     )
+    if most is not None:
+        ranked = ranked.where(q(out) <= most)
     return sized(ranked, rows)

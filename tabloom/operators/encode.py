@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import long_form, per_column, q, replace_columns
+from ..functions.columns import fresh_names, long_form, per_column, q, replace_columns
 from ..functions.moments import sum_of_squares
 from .outliers import FLAG
 
@@ -53,11 +53,18 @@ class Encoder:
     target_encoded: dict[str, dict[str, float]] = field(default_factory=dict)
     grand_mean: float = 0.0
     one_hot: dict[str, list[str]] = field(default_factory=dict)
+    taken: list[str] = field(default_factory=list)
+
+    @property
+    def hot_names(self) -> dict[str, list[str]]:
+        """`{column}_{level}` per level, numbered where it would clash with any other column."""
+        wanted = [f"{c}_{v}" for c, levels in self.one_hot.items() for v in levels]
+        names = iter(fresh_names(wanted, [*self.numbers, *self.target_encoded, *self.one_hot, *self.taken]))
+        return {c: [next(names) for _ in levels] for c, levels in self.one_hot.items()}
 
     @property
     def outputs(self) -> list[str]:
-        hot = [f"{c}_{v}" for c, levels in self.one_hot.items() for v in levels]
-        return [*self.numbers, *self.target_encoded, *hot]
+        return [*self.numbers, *self.target_encoded, *(n for names in self.hot_names.values() for n in names)]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Literal lookups only: after rare folding a column has at most 101 trained values."""
@@ -65,14 +72,14 @@ class Encoder:
         for c, table in self.target_encoded.items():
             pairs = [x for v, e in table.items() for x in (F.lit(v), F.lit(e))]
             new[c] = F.coalesce(F.create_map(*pairs)[q(c)], F.lit(self.grand_mean))
-        for c, levels in self.one_hot.items():
-            new |= one_hot(c, levels)
+        for c, names in self.hot_names.items():
+            new |= dict(zip(names, one_hot(c, self.one_hot[c]).values()))
         return replace_columns(df, new).drop(*self.one_hot)
 
 
 def fit_encoder(train: DataFrame, numbers: list[str], categories: list[str], target: str) -> Encoder:
     """High-cardinality categories (> 10 values) by target mean, the others one-hot."""
-    state = Encoder(numbers=list(numbers))
+    state = Encoder(numbers=list(numbers), taken=list(train.columns))
     if not categories:
         return state
     state.grand_mean = float(train.agg(F.avg(q(target))).first()[0] or 0.0)

@@ -26,9 +26,8 @@ from .neighbours import BROADCAST_BYTES, knn, nearest, stack, vote
 from .split import simple_sample, with_folds
 from .target import CLASSIFICATION, REGRESSION
 
-# beyond this many rows the slow models are ranked on a sample (the linear SVM scales on Spark)
+# models whose scoring cost grows with their training rows; Job.max_fit_rows bounds these alone
 SLOW_MODELS = ["knn"]
-SLOW_ROWS, SLOW_SAMPLE = 50_000, 20_000
 # MLlib trees stop at depth 30; forests get a lower ceiling in place of "unlimited"
 TREE_DEPTH, FOREST_DEPTH = 30, 10
 CALIBRATION_FOLDS = 5
@@ -73,7 +72,8 @@ class Job:
     n_classes: int = 0
     weighted: bool = False
     seed: int = 42
-    full_rows: bool = False  # fit slow models on every row, not on their sample
+    max_fit_rows: int | None = None  # rank SLOW_MODELS on so many rows; off by default, and kept models see all rows
+    full_rows: bool = False  # ignore max_fit_rows
     calibration_folds: int = CALIBRATION_FOLDS
     parallelism: int = 4  # fits in flight at once
 
@@ -321,7 +321,8 @@ class KnnModel:
         if self.size_bytes <= self.broadcast_bytes:
             scored = df.withColumn(f"{prefix}probability", self._vote_udf()(vector_to_array("features")))
         else:
-            asked = df.select(F.col("_row_id").alias("id"), vector_to_array("features").alias("vector"))
+            # rows with one id have one content: ask once, give all of them the answer
+            asked = df.select(F.col("_row_id").alias("id"), vector_to_array("features").alias("vector")).dropDuplicates(["id"])
             near = knn(asked, self.rows, self.k, broadcast_bytes=self.broadcast_bytes)
             labels = self.rows.select(F.col("id").alias("neighbour_id"), "label")
             shares = vote(near, labels, self.n_classes, self.weights).select(
@@ -368,8 +369,8 @@ class KnnModel:
 
 def _fit_knn(train: DataFrame, job: Job, params: dict) -> KnnModel:
     n = train.count()
-    if n > SLOW_ROWS and not job.full_rows:
-        train, n = simple_sample(train, "_row_id", SLOW_SAMPLE, job.seed, rows=n), SLOW_SAMPLE
+    if job.max_fit_rows is not None and n > job.max_fit_rows and not job.full_rows:
+        train, n = simple_sample(train, "_row_id", job.max_fit_rows, job.seed, rows=n), job.max_fit_rows
     rows = staged(
         train.select(F.col("_row_id").alias("id"), vector_to_array("features").alias("vector"), F.col("_label").alias("label")),
         "knn",

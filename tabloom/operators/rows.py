@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import q
+from ..functions.hashing import null_flags
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
@@ -29,7 +30,8 @@ def dedup_by_key(df: DataFrame, keys: list[str], order_by: list[str] | None = No
     if order_by:
         order = [q(c) for c in order_by]
     else:
-        order = [F.xxhash64(*[q(c) for c in df.columns]), F.hash(*[q(c) for c in df.columns])]
+        content = [null_flags(df.columns), *[q(c) for c in df.columns]]
+        order = [F.xxhash64(*content), F.hash(*content)]
     first = Window.partitionBy(*[q(c) for c in known]).orderBy(*order)
     return (
         df.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")

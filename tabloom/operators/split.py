@@ -27,8 +27,7 @@ def simple_sample(
     df: DataFrame, key: str, size: int, seed: int = 42, rows: int | None = None
 ) -> DataFrame:
     """Exactly `size` rows (all, if there are fewer): those with the smallest hashes."""
-    ranked = hash_rank(df, key, seed, rows=rows)
-    return ranked.where(F.col("_rank") <= size).drop("_rank")
+    return hash_rank(df, key, seed, rows=rows, most=size).drop("_rank")
 
 
 def stratified_sample(
@@ -42,12 +41,8 @@ def stratified_sample(
         df.groupBy(q(label).alias("_class"))
         .agg(F.rint(F.lit(float(size)) * F.count("*") / F.lit(rows)).alias("_quota"))
     )
-    ranked = hash_rank(df, key, seed, by=[label], rows=rows)
-    return (
-        ranked.join(quota, q(label).eqNullSafe(F.col("_class")))
-        .where(F.col("_rank") <= F.col("_quota"))
-        .drop("_rank", "_quota", "_class")
-    )
+    allowed = df.join(quota, q(label).eqNullSafe(F.col("_class"))).drop("_class")
+    return hash_rank(allowed, key, seed, by=[label], rows=rows, most=F.col("_quota")).drop("_rank", "_quota")
 
 
 def with_folds(

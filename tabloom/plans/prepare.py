@@ -8,9 +8,10 @@ from dataclasses import asdict, dataclass, field
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.columns import kinds, q, quoted
+from ..functions.columns import kinds, q
+from ..functions.hashing import null_flags
 from ..operators import target as tgt
-from ..operators.balance import class_counts, needs_balancing, smote
+from ..operators.balance import NEIGHBOURS, SEVERE_RATIO, class_counts, smote
 from ..operators.encode import Encoder, Scaler, align, fit_encoder, fit_scaler
 from ..operators.importance import elbow_features, forest_importances
 from ..operators.impute import Imputer, fit_imputer
@@ -28,7 +29,8 @@ INTERNAL = ["_row_id", "_split", "_label"]
 
 def content_id(df: DataFrame, columns: list[str] | None = None) -> Column:
     """128 bits of row content as text: the row identity of tables without a key."""
-    cols = [q(c) for c in (columns or df.columns)]
+    names = columns or df.columns
+    cols = [null_flags(names), *[q(c) for c in names]]
     return F.concat(F.hex(F.xxhash64(*cols)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *cols)))
 
 
@@ -62,6 +64,10 @@ class PrepState:
     importances: dict[str, float] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
     balanced: int = 0
+    balance_skipped: str | None = None
+    rows_without_target: int = 0
+    rows_sampled: int | None = None
+    split_rows: dict[str, int] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), default=str)
@@ -98,7 +104,7 @@ class PreparedModel:
         s = self.state
         held = [f"_keep_{i}" for i in range(len(keep))]
         present = [
-            q(c).cast(t).alias(c) for c, t in s.inputs.items() if c in df.columns
+            q(c).try_cast(t).alias(c) for c, t in s.inputs.items() if c in df.columns  # what cannot be read is missing
         ]
         df = nan_to_null(df.select(*[q(c).alias(h) for c, h in zip(keep, held)], *present))
         out = self.apply(df)
@@ -149,8 +155,16 @@ class PreparedModel:
         rows += [("encode", "target_mean", c, None) for c in s.encoder.target_encoded]
         rows += [("encode", "one_hot", c, str(len(v))) for c, v in s.encoder.one_hot.items()]
         rows += [("scale", "zero_variance", c, None) for c in s.scaler.dropped]
+        rows = [("input", "null_target_rows", s.target, str(s.rows_without_target)), *rows]
+        if s.rows_sampled is not None:
+            rows.append(("sample", "rows_kept", None, str(s.rows_sampled)))
+        rows += [("split", "rows", part, str(n)) for part, n in s.split_rows.items()]
+        if s.use_class_weight:
+            rows.append(("task", "class_weights", s.target, str(s.imbalance_ratio)))
         if s.balanced:
             rows.append(("balance", "synthetic_rows", None, str(s.balanced)))
+        if s.balance_skipped:
+            rows.append(("balance", "skipped", None, s.balance_skipped))
         rows += [("importance", "kept", c, str(s.importances.get(c))) for c in s.features]
         return spark.createDataFrame(
             [(i, *r) for i, r in enumerate(rows)],
@@ -181,7 +195,7 @@ def _type(text: str) -> T.DataType:
 
 @dataclass
 class Prepared:
-    """A fitted preparation with its training and test rows as (_row_id, _label, features)."""
+    """A fitted preparation with its training and test rows as (_row_id, _label, _synthetic, features)."""
 
     model: PreparedModel
     train: DataFrame
@@ -191,10 +205,11 @@ class Prepared:
     def state(self) -> PrepState:
         return self.model.state
 
-    def cleaned(self) -> DataFrame:
-        """Train and test rows as named columns with the target, for export."""
+    def cleaned(self, synthetic: bool = False) -> DataFrame:
+        """Train and test rows as named columns with the target, for export; with `synthetic` also the made-up ones, marked."""
         s = self.state
         both = self.train.withColumn("_split", F.lit(TRAIN)).unionByName(self.test.withColumn("_split", F.lit(TEST)))
+        both = both if synthetic else both.where("not _synthetic")
         x = vector_to_array("features")
         label = F.col("_label")
         if s.classes:
@@ -202,7 +217,7 @@ class Prepared:
         elif s.target_logged:
             label = tgt.unlog_target(label)
         return both.select(
-            "_row_id", "_split", *[x[i].alias(c) for i, c in enumerate(s.features)], label.alias(s.target)
+            "_row_id", "_split", *(["_synthetic"] if synthetic else []), *[x[i].alias(c) for i, c in enumerate(s.features)], label.alias(s.target)
         )
 
 
@@ -227,6 +242,7 @@ class Preparer:
     def fit(self, df: DataFrame) -> Prepared:
         validate_input(df, self.target, self.test_size)
         kinds(df, skip=[self.target])
+        all_rows = df.count()
         df = nan_to_null(drop_null_target(df, self.target))
         rows_in = df.count()
         unique = dedup_by_key(df, self.key_cols, self.order_by) if self.key_cols else dedup_rows(df)
@@ -240,11 +256,17 @@ class Preparer:
         report.rows_in = rows_in
         table = table.drop(*report.dropped)
         state = self._task(table, report)
+        state.rows_without_target = all_rows - rows_in
         table = self._sampled(table, state)
         inputs = [f for f in table.schema.fields if f.name not in (self.target, "_row_id")]
         state.inputs = {f.name: f.dataType.simpleString() for f in inputs}
         frame = self._split(table, state)
-        return self._fit_phases(frame, state)
+        cached: list[DataFrame] = []
+        try:
+            return self._fit_phases(frame, state, cached)
+        finally:
+            for held in cached:
+                held.unpersist()
 
     def _task(self, table: DataFrame, report: TrimReport) -> PrepState:
         task = tgt.detect_task(table, self.target)
@@ -264,6 +286,7 @@ class Preparer:
     def _sampled(self, table: DataFrame, state: PrepState) -> DataFrame:
         if self.max_rows is None or state.trim.rows_out <= self.max_rows:
             return table
+        state.rows_sampled = self.max_rows
         if state.task == tgt.CLASSIFICATION:
             return stratified_sample(table, "_row_id", self.target, self.max_rows, self.seed)
         return simple_sample(table, "_row_id", self.max_rows, self.seed, rows=state.trim.rows_out)
@@ -276,7 +299,7 @@ class Preparer:
         labelled = table.withColumn("_label", label).drop(self.target)
         return train_test_split(labelled, "_row_id", self.test_size, self.seed)
 
-    def _fit_phases(self, frame: DataFrame, state: PrepState) -> Prepared:
+    def _fit_phases(self, frame: DataFrame, state: PrepState, cached: list[DataFrame]) -> Prepared:
         regression = state.task == tgt.REGRESSION
 
         def train(df: DataFrame) -> DataFrame:
@@ -286,8 +309,10 @@ class Preparer:
         frame = state.text.transform(frame)
         state.imputer = fit_imputer(train(frame), INTERNAL, self.approx)
         filled = state.imputer.transform(frame).persist()
+        cached.append(filled)
         fit_rows = train(filled)
-        n_train = fit_rows.count()
+        state.split_rows = {r["_split"]: r["count"] for r in filled.groupBy("_split").count().collect()}
+        n_train = state.split_rows.get(TRAIN, 0)
 
         numbers, categories = list(state.imputer.fills), list(state.imputer.categories)
         state.multicollinear = multicollinear_columns(fit_rows, numbers, "_label")
@@ -314,6 +339,7 @@ class Preparer:
         columns = [c for c in state.encoder.outputs if c not in state.scaler.dropped]
 
         vectors = assemble(scaled, columns, INTERNAL).persist()
+        cached.append(vectors)
         fit_rows = vectors.where(F.col("_split") == TRAIN).drop("_split")
         test_rows = vectors.where(F.col("_split") == TEST).drop("_split")
         if self.balance and not regression:
@@ -328,19 +354,21 @@ class Preparer:
 
         def cut(df: DataFrame) -> DataFrame:
             x = vector_to_array("features")
-            return df.select("_row_id", "_label", array_to_vector(F.array(*[x[i] for i in places])).alias("features"))
+            made = F.col("_synthetic") if "_synthetic" in df.columns else F.lit(False)
+            return df.select("_row_id", "_label", made.alias("_synthetic"), array_to_vector(F.array(*[x[i] for i in places])).alias("features"))
 
         train_out, test_out = staged(cut(fit_rows), "train"), staged(cut(test_rows), "test")
-        vectors.unpersist()
-        filled.unpersist()
         return Prepared(PreparedModel(state), train_out, test_out)
 
     def _balanced(self, rows: DataFrame, state: PrepState) -> DataFrame:
         """Over-sample when the target is severely imbalanced; rows that cannot be stay."""
+        if not (state.imbalance_ratio or 0) > SEVERE_RATIO:  # of the whole table, rounded
+            return rows
         counts = class_counts(rows, "_label")
-        if not needs_balancing(counts) or min(counts.values()) <= 5:
+        if len(counts) < 2 or min(counts.values()) <= NEIGHBOURS:
+            state.balance_skipped = f"smallest class has {min(counts.values())} rows"
             return rows
         arrays = rows.withColumn("features", vector_to_array("features"))
-        out = smote(arrays, "_row_id", "_label", "features", seed=self.seed).drop("_synthetic")
+        out = smote(arrays, "_row_id", "_label", "features", seed=self.seed)
         state.balanced = max(counts.values()) * len(counts) - sum(counts.values())
         return out.withColumn("features", array_to_vector("features"))

@@ -53,6 +53,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def sized(df: DataFrame, rows: int, rows_per_task: int = 50_000) -> DataFrame:
     """Fewer partitions for few rows, so that iterating learners do not pay for empty tasks.
 
-    A no-op on large tables: partitions are only ever merged.
+    A no-op on large tables: partitions are only ever merged, and not below one per core once
+    there is a task's worth of rows.
     """
-    return df.coalesce(max(1, -(-rows // rows_per_task)))
+    wanted = -(-rows // rows_per_task)
+    return df.coalesce(max(1, wanted if wanted == 1 else max(wanted, df.sparkSession.sparkContext.defaultParallelism)))

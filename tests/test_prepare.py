@@ -163,3 +163,23 @@ def test_nan_and_duplicates(spark):
 def test_keep_cols_override_the_identifier_rules(orders):
     _, report = pf.trim(orders, "y_reg", keep_cols=["row_num"])
     assert "row_num" not in report.dropped and "o_orderkey" in report.id_like
+
+
+def test_unreadable_cells_are_missing_at_scoring(spark, orders):
+    from tabloom.plans.prepare import Preparer
+
+    raw = orders.select("o_orderkey", "price", "spiky", "shop", "y_reg")
+    model = Preparer("y_reg", key_cols=["o_orderkey"], trees=5, top_n=99).fit(raw).model
+    text = raw.withColumn("price", F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("price").cast("string")))
+    blank = raw.withColumn("price", F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("price")))
+    found = lambda df: sorted(map(tuple, model.features(df, ["o_orderkey"]).collect()))
+    assert found(text) == found(blank)
+
+
+def test_levels_that_differ_in_case_can_be_prepared(spark, orders):
+    from tabloom.plans.prepare import Preparer
+
+    raw = orders.select("o_orderkey", "spiky", "y_bin", F.expr("CASE WHEN y_bin = 'big' THEN 'Yes' WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'No' END AS flag"))
+    prepared = Preparer("y_bin", key_cols=["o_orderkey"], trees=5, top_n=99).fit(raw)
+    assert {"flag_No", "flag_Yes", "flag_yes~2"} <= set(prepared.state.encoder.outputs)
+    assert prepared.cleaned().count() == raw.count()
