@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -17,9 +17,12 @@ POOL = 20_000
 ROUNDS = 2
 #: Pseudo-labels a view hands over per round, as a share of the labelled fitting rows, and the least confidence.
 HANDED = 0.1
-CONFIDENT = 0.9
+CONFIDENT = 0.95
 CALIBRATION = 5  # one labelled row in so many calibrates and is never fitted on
-TEXT_FEATURES = 1 << 17
+#: The text view's words: the most frequent of the sample, each in LEAST_DOCS of its documents at least.
+TEXT_WORDS = 1 << 16
+LEAST_DOCS = 5
+ALWAYS = "\x00"
 META_FEATURES = 1 << 12
 VIEWS = ("text", "meta")
 HEADS = ("quality", "toxic")
@@ -49,14 +52,20 @@ def metadata_tokens(text: Column) -> Column:
     return F.array(*[F.concat(F.lit(f"{name}="), value) for name, value in named.items()])
 
 
-def with_views(docs: DataFrame, kept: list[str]) -> DataFrame:
-    """Hashed vectors of both views beside the columns `kept`; DataFrame and MLlib expressions only."""
+def with_tokens(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """The words of both views beside the columns `kept`: for the text the words between gaps, with and without marks."""
     text = text_of(F.col("text"))
-    df = docs.withColumn("_words", words_of(ascii_lower(text)))
-    df = df.select(*kept, "_words", metadata_tokens(text).alias("_tokens"))
-    df = HashingTF(inputCol="_words", outputCol="text", numFeatures=TEXT_FEATURES, binary=True).transform(df)
-    df = HashingTF(inputCol="_tokens", outputCol="meta", numFeatures=META_FEATURES, binary=True).transform(df)
-    return df.drop("_words", "_tokens")
+    low = ascii_lower(text)
+    bare = F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    df = docs.withColumn("_words", words_of(low))
+    return df.select(*kept, F.concat("_words", bare, F.array(F.lit(ALWAYS))).alias("_text"), metadata_tokens(text).alias("_meta"))
+
+
+def with_views(df: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
+    """Vectors of both views in place of their words; MLlib transformers on the JVM only."""
+    df = vocabulary.transform(df)
+    df = HashingTF(inputCol="_meta", outputCol="meta", numFeatures=META_FEATURES, binary=True).transform(df)
+    return df.drop("_text", "_meta")
 
 
 def labels_of(labels: DataFrame) -> DataFrame:
@@ -87,16 +96,20 @@ def fit_view(rows: DataFrame, view: str) -> LogisticRegressionModel:
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(counts.values())
     weight = F.when(F.col("label") == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0]))
-    learner = LogisticRegression(featuresCol=view, labelCol="label", weightCol="_weight", regParam=1e-3, maxIter=25, standardization=False)
+    # few words tell in the text view, so it is fitted sparsely
+    learner = LogisticRegression(
+        featuresCol=view, labelCol="label", weightCol="_weight", regParam=1e-3, elasticNetParam=float(view == "text"), maxIter=40, standardization=False
+    )
     return learner.fit(rows.withColumn("_weight", weight))
 
 
 def co_train(rows: DataFrame, head: str, scratch: Scratch) -> Head:
     """Fit one head on `rows`: key, text, meta, the label of the head (null in the pool), calibrates.
 
-    Each round fits both views, lets each name the pool documents it is surest of (at least
-    CONFIDENT, at most HANDED of the labelled rows, in the classes' own proportion) and hands those to the other view
-    as labelled. At the end each view's margin on rows kept aside is calibrated and
+    Each round fits and calibrates both views, lets each name the pool documents it is surest of
+    (a calibrated CONFIDENT at least; at most HANDED of the labelled rows, in the classes' own
+    proportion) and hands those to the other view as labelled. A view that cannot tell the
+    classes apart is never that sure and hands over nothing. At the end each view's margin on rows kept aside is calibrated and
     the two are combined by one logistic regression.
     """
     labelled = rows.where(F.col(head).isNotNull()).withColumn("label", F.col(head))
@@ -116,38 +129,44 @@ def co_train(rows: DataFrame, head: str, scratch: Scratch) -> Head:
         if turn == ROUNDS:
             break
         for view, other in (VIEWS, VIEWS[::-1]):
-            sure = margin(pool, models[view], view, "_m").withColumn("label", (F.col("_m") > 0).cast("int"))
-            sure = sure.where(1 / (1 + F.exp(-F.abs("_m"))) >= CONFIDENT)
-            order = Window.partitionBy("label").orderBy(F.abs("_m").desc(), "key")  # the pool has at most POOL rows
+            fitted = fit_combiner(labelled.where("calibrates"), {view: models[view]})
+            scored = margin(pool, models[view], view, f"_m_{view}").withColumn("_p", combined(fitted, (view,), "_m"))
+            sure = scored.withColumn("label", (F.col("_p") > 0.5).cast("int"))
+            sure = sure.where((F.col("_p") >= CONFIDENT) | (F.col("_p") <= 1 - CONFIDENT)).drop(f"_m_{view}")
+            order = Window.partitionBy("label").orderBy(F.abs(F.col("_p") - 0.5).desc(), "key")  # the pool has at most POOL rows
             picked = sure.withColumn("_r", F.row_number().over(order)).where(
                 F.col("_r") <= F.when(F.col("label") == 1, quota[1]).otherwise(quota[0])
             )
-            new = scratch.keep(picked.drop("_m", "_r"), "pseudo-labels")
+            new = scratch.keep(picked.drop("_p", "_r"), "pseudo-labels")
             given[other] = new if given[other] is None else given[other].unionByName(new)
             pool = pool.join(F.broadcast(new.select("key")), "key", "left_anti")
     return Head(None, models, fit_combiner(labelled.where("calibrates"), models))
 
 
 def both_margins(df: DataFrame, models: dict[str, LogisticRegressionModel], prefix: str) -> DataFrame:
-    for view in VIEWS:
+    for view in models:
         df = margin(df, models[view], view, f"{prefix}_{view}")
     return df
 
 
 def fit_combiner(rows: DataFrame, models: dict[str, LogisticRegressionModel]) -> LogisticRegressionModel:
-    margins = both_margins(rows, models, "_m").select("label", "_m_text", "_m_meta")
-    vectors = VectorAssembler(inputCols=["_m_text", "_m_meta"], outputCol="margins").transform(margins)
+    """Calibrate the margins of one view, or of both together."""
+    names = [f"_m_{view}" for view in models]
+    vectors = VectorAssembler(inputCols=names, outputCol="margins").transform(both_margins(rows, models, "_m").select("label", *names))
     return LogisticRegression(featuresCol="margins", labelCol="label", regParam=1e-3, maxIter=50).fit(vectors)
 
 
-def probability(head: Head, name: str) -> Column:
-    if head.combiner is None:
-        return F.lit(float(head.constant))
-    a, b = head.combiner.coefficients
-    z = float(head.combiner.intercept) + float(a) * F.col(f"_{name}_text") + float(b) * F.col(f"_{name}_meta")
+def combined(model: LogisticRegressionModel, views: tuple[str, ...], prefix: str) -> Column:
+    z = F.lit(float(model.intercept))
+    for weight, view in zip(model.coefficients, views):
+        z = z + float(weight) * F.col(f"{prefix}_{view}")
     return 1 / (1 + F.exp(-z))
 
 
+def probability(head: Head, name: str) -> Column:
+    return F.lit(float(head.constant)) if head.combiner is None else combined(head.combiner, VIEWS, f"_{name}")
+
+
 def sample_keys(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """At most MAX_LABELLED labelled and POOL unlabelled ids in hash order, with their labels."""
     ids = docs.where("doc_id is not null").select("doc_id").distinct().join(labels_of(labels).withColumn("in_labels", F.lit(True)), "doc_id", "left")
@@ -172,9 +191,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = scratch.keep(sample_keys(docs, labels), "sample-ids")
     sampled = docs.join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
     kept = ["key", *HEADS, "in_labels", "calibrates"]
-    rows = scratch.keep(with_views(sampled.dropDuplicates(["key"]), kept), "sample-views")
-    heads = {name: co_train(rows, name, scratch) for name in HEADS}
-    scored = with_views(docs, ["doc_id"])
+    tokens = scratch.keep(with_tokens(sampled.dropDuplicates(["key"]), kept), "sample-words")
+    least = min(LEAST_DOCS, max(1, tokens.count()))
+    if tokens.isEmpty():
+        tokens = docs.sparkSession.createDataFrame([([ALWAYS], [])], "_text array<string>, _meta array<string>")
+    vectorizer = CountVectorizer(inputCol="_text", outputCol="text", vocabSize=TEXT_WORDS, minDF=least, binary=True)
+    vocabulary = vectorizer.fit(tokens)
+    heads = {name: Head(0.5, {}, None) for name in HEADS}
+    if "key" in tokens.columns:
+        rows = scratch.keep(with_views(tokens, vocabulary), "sample-views")
+        heads = {name: co_train(rows, name, scratch) for name in HEADS}
+    scored = with_views(with_tokens(docs, ["doc_id"]), vocabulary)
     for name, head in heads.items():
         scored = both_margins(scored, head.models, f"_{name}") if head.models else scored.withColumns(
             {f"_{name}_{v}": F.lit(0.0) for v in VIEWS}
