@@ -25,6 +25,7 @@ LEAST_DOCS = 5
 ALWAYS = "\x00"
 META_FEATURES = 1 << 12
 VIEWS = ("text", "meta")
+PENALTY = {"text": 3e-3, "meta": 1e-3}
 HEADS = ("quality", "toxic")
 
 
@@ -98,7 +99,7 @@ def fit_view(rows: DataFrame, view: str) -> LogisticRegressionModel:
     weight = F.when(F.col("label") == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0]))
     # few words tell in the text view, so it is fitted sparsely
     learner = LogisticRegression(
-        featuresCol=view, labelCol="label", weightCol="_weight", regParam=1e-3, elasticNetParam=float(view == "text"), maxIter=40, standardization=False
+        featuresCol=view, labelCol="label", weightCol="_weight", regParam=PENALTY[view], elasticNetParam=float(view == "text"), maxIter=40, standardization=False
     )
     return learner.fit(rows.withColumn("_weight", weight))
 
@@ -190,8 +191,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "source", "lang", "n_chars")
     chosen = scratch.keep(sample_keys(docs, labels), "sample-ids")
     sampled = docs.join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
+    sampled = sampled.withColumn("_same", F.xxhash64("text", "in_labels", *HEADS))  # copies would weigh their words up
     kept = ["key", *HEADS, "in_labels", "calibrates"]
-    tokens = scratch.keep(with_tokens(sampled.dropDuplicates(["key"]), kept), "sample-words")
+    tokens = scratch.keep(with_tokens(sampled.dropDuplicates(["_same"]).drop("_same"), kept), "sample-words")
     least = min(LEAST_DOCS, max(1, tokens.count()))
     if tokens.isEmpty():
         tokens = docs.sparkSession.createDataFrame([([ALWAYS], [])], "_text array<string>, _meta array<string>")
