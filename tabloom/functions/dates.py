@@ -12,6 +12,7 @@ DATE_FORMATS = [
     "yyyy-M-d H:m",
     "yyyy-M-d H:m:s[.SSSSSS][.SSS]",
     "yyyy-M-d'T'H:m[:s][.SSSSSS][.SSS][XXX]",
+    "yyyy-M-d H:m:s[.SSSSSS][.SSS][ ]XXX",
     "yyyy/M/d",
     "yyyy/M/d H:m[:s]",
     "M/d/yyyy",
@@ -26,13 +27,21 @@ DATE_FORMATS = [
     "d-MMM-yyyy",
     "MMM d, yyyy",
     "MMM d yyyy",
+    "M/d/yy",
+    "M/d/yy H:m[:s]",
+    "d/M/yy",
+    "M/d/yyyy h:m[:s] a",
+    "yyyy-M-d h:m[:s] a",
+    "d MMMM yyyy",
+    "MMMM d, yyyy",
+    "MMMM d yyyy",
 ]
 DATE_PARTS = ["Year", "Month", "Day", "DayOfWeek", "Is_Weekend"]
 
 
 # fixed values: what each pattern letter run may look like in text
 _SHAPES = {
-    "yyyy": "[0-9]{4}", "MMM": "[A-Za-z]{3}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}",
+    "yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]{3,9}", "h": "[0-9]{1,2}", "a": "[AaPp][Mm]", "MMM": "[A-Za-z]{3}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}",
     "m": "[0-9]{1,2}", "s": "[0-9]{1,2}", "SSSSSS": "[0-9]{6}", "SSS": "[0-9]{3}", "XXX": "[Z0-9:+-]{1,6}",
 }
 

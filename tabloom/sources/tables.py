@@ -28,10 +28,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def input_facts(df: DataFrame, target: str, test_size: float = 0.2) -> DataFrame:
     """Row and target counts with the verdict of the input guards, in one aggregate."""
     rows, missing = F.col("n_rows"), F.col("n_target_null")

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import duckdb
@@ -17,6 +18,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tabloom-tests-"))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions import quantiles as qn
-from tabloom.functions.dates import DATE_FORMATS, shape
+from tabloom.functions.dates import DATE_FORMATS, parsed, shape
 from tabloom.functions.hashing import hash_rank, seeded_md5
 from tabloom.functions.moments import adjusted_skew
 from tabloom.functions.pvalues import chi2_p_value, f_p_value
@@ -107,3 +107,19 @@ def test_every_date_format_has_a_matching_shape():
     for fmt, text in samples.items():
         assert fmt in DATE_FORMATS and re.match(shape(fmt), text)
     assert not re.match(shape("d.M.yyyy"), "9-3-2024")
+
+
+@pytest.mark.parametrize(
+    "text, day",
+    [
+        ("1/2/24", "2024-01-02"), ("01/02/2024 03:04 PM", "2024-01-02"), ("January 5, 2024", "2024-01-05"), ("5 March 2024", "2024-03-05"),
+        ("2024-01-05 10:00:00+00:00", "2024-01-05"), ("2024-01-05 10:00:00 +02:00", "2024-01-05"), ("2024-1-5 1:00 am", "2024-01-05"),
+    ],
+)
+def test_common_date_texts(spark, text, day):
+    from tabloom.operators.textfeat import text_kind_table
+
+    df = spark.createDataFrame([(text,)] * 3, "d string")
+    found = text_kind_table(df, ["d"]).first()
+    assert found["kind"] == "date" and found["date_share"] == 1.0
+    assert str(df.select(parsed(F.col("d"), found["date_format"]).cast("date")).first()[0]) == day
