@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import UPPER, Scratch, ascii_lower, read, text_of, words_of
 
 #: Bounds of what models are fitted on: labelled documents, and unlabelled ones that get pseudo-labels.
-MAX_LABELLED = 20_000
-POOL = 20_000
+MAX_LABELLED = 10_000
+POOL = 10_000
 ROUNDS = 2
 #: Pseudo-labels a view hands over per round, as a share of the labelled fitting rows, and the least confidence.
 HANDED = 0.1
 CONFIDENT = 0.95
 CALIBRATION = 5  # one labelled row in so many calibrates and is never fitted on
 #: The text view's words: the most frequent of the sample, each in LEAST_DOCS of its documents at least.
-TEXT_WORDS = 1 << 16
+TEXT_WORDS = 1 << 14
 LEAST_DOCS = 5
 ALWAYS = "\x00"
 META_FEATURES = 1 << 12
@@ -99,7 +99,7 @@ def fit_view(rows: DataFrame, view: str) -> LogisticRegressionModel:
     weight = F.when(F.col("label") == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0]))
     # few words tell in the text view, so it is fitted sparsely
     learner = LogisticRegression(
-        featuresCol=view, labelCol="label", weightCol="_weight", regParam=PENALTY[view], elasticNetParam=float(view == "text"), maxIter=40, standardization=False
+        featuresCol=view, labelCol="label", weightCol="_weight", regParam=PENALTY[view], elasticNetParam=float(view == "text"), maxIter=25, standardization=False
     )
     return learner.fit(rows.withColumn("_weight", weight))
 
