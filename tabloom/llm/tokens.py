@@ -24,7 +24,7 @@ DICTIONARY_BYTES = 65_536
 SHARD_BYTES = 128 << 20
 #: UTF-8 bytes of text per writing task, so that remembered stretches pay and the memory of a task stays bounded.
 TASK_BYTES = 64 << 20
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 250_000
 
 # Shard layout, little-endian:
 #   header  magic, id width in bytes (u8), SHA-256 of the dictionary (32 bytes; of nothing if there is none)
