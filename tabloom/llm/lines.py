@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import GAP_CHARS, Scratch, ascii_lower, join_repeated, read, text_of
+from .common import GAP_CHARS, Scratch, join_repeated, read, text_of
 
 #: A pair of lines is near if its edit distance is at most floor(shorter length / CHARS_PER_EDIT), and at most MOST_EDITS.
 MOST_EDITS = 2
 CHARS_PER_EDIT = 20
-SEEN_LINES = 500_000
+GAP_BYTES = GAP_CHARS.encode()
+SEEN_LINES = 200_000
+BLOCK_CHARS = 1 << 20
 BROADCAST_LINES = 100_000
 BLOCK = 2048
 
@@ -20,9 +24,9 @@ def edits_for(length: int) -> int:
     return min(MOST_EDITS, length // CHARS_PER_EDIT)
 
 
-def normal_line(line: str) -> str:
-    """Compared form: ASCII space around it stripped, A-Z lower-cased."""
-    return line.strip(GAP_CHARS).encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+def forms_of(text: str) -> list[bytes]:
+    """The lines of a text as compared: ASCII space around them stripped, A-Z lower-cased, in UTF-8."""
+    return [line.strip(GAP_BYTES) for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
 
 def within(a: str, b: str, limit: int) -> bool:
@@ -99,33 +103,49 @@ def index_and_probes(length: int) -> list[tuple[bool, int, int, int, int]]:
     return out
 
 
-def line_id(line: str) -> int:
-    """32 bits of a hash, then the parities of the counts of 32 classes of neighbouring characters.
+def parities(lines: list[str]) -> np.ndarray:
+    """Per line 32 bits: the parities of the counts of 32 classes of neighbouring characters.
 
-    An edit changes at most four of those counts by one, so ids of near lines differ in at most 4 x limit low bits.
+    An edit changes at most four of those counts by one, so near lines differ in at most 4 x limit bits.
     """
-    import xxhash
+    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(lines)), lengths)
+    kind = ((codes[:-1] * np.uint64(0x9E3779B1) + codes[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)) % np.uint64(32)
+    inside = owner[:-1] == owner[1:]
+    counts = np.bincount(owner[:-1][inside] * 32 + kind[inside].astype(np.int64), minlength=32 * len(lines))
+    return (counts.reshape(-1, 32) & 1) @ (1 << np.arange(32, dtype=np.int64))
 
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    pairs = (codes[:-1] * np.uint64(0x9E3779B1) + codes[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
-    parity = np.bincount((pairs % np.uint64(32)).astype(np.int64), minlength=32) & 1
-    low = int((parity << np.arange(32)).sum())
-    value = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) >> 32 << 32 | low
-    return value - (1 << 64) if value >> 63 else value
 
+def distinct_lines(texts, seen: set):
+    """Blocks (ids, lines) of the lines of a batch that can have near partners and were not met before in the task.
+
+    The upper half of an id is from the line's digest, the lower half its parities.
+    """
+    heads, lines, size = [], [], 0
+
+    def block():
+        ids = np.array(heads, dtype=np.int64) << 32 | parities(lines)
+        return ids, lines
 
-def distinct_lines(texts, seen: set) -> list[tuple[int, str]]:
-    """(id, compared form) of the lines of a batch that can have near partners and were not met before in the task."""
-    out = []
     for text in texts:
-        for line in text.as_py().split("\n"):
-            line = normal_line(line)
-            if len(line) >= CHARS_PER_EDIT and line not in seen:
-                if len(seen) >= SEEN_LINES:
-                    seen.clear()
-                seen.add(line)
-                out.append((line_id(line), line))
-    return out
+        for form in forms_of(text.as_py()):
+            if len(form) < CHARS_PER_EDIT or form in seen:
+                continue
+            line = form.decode("utf-8", "surrogatepass")
+            if len(line) < CHARS_PER_EDIT:
+                continue
+            if len(seen) >= SEEN_LINES:
+                seen.clear()
+            seen.add(form)
+            heads.append(int.from_bytes(hashlib.md5(form).digest()[:4], "little", signed=True))
+            lines.append(line)
+            size += len(line)
+            if size >= BLOCK_CHARS:
+                yield block()
+                heads, lines, size = [], [], 0
+    if lines:
+        yield block()
 
 
 def substring_rows(texts: DataFrame) -> DataFrame:
@@ -137,53 +157,55 @@ def substring_rows(texts: DataFrame) -> DataFrame:
         digest, plans, seen = xxhash.xxh64_intdigest, {}, set()
         for batch in batches:
             keys, lines, kinds = [], [], []
-            for number, line in distinct_lines(batch.column("text"), seen):
-                if len(line) not in plans:
-                    plans[len(line)] = index_and_probes(len(line))
-                for indexed, partner, i, at, size in plans[len(line)]:
-                    keys.append(digest(line[at : at + size].encode("utf-8", "surrogatepass"), partner << 8 | i))
-                    kinds.append(indexed)
-                lines += [number] * len(plans[len(line)])
+            for ids, found in distinct_lines(batch.column("text"), seen):
+                for number, line in zip(ids.tolist(), found):
+                    plan = plans.get(len(line))
+                    if plan is None:
+                        plan = plans[len(line)] = index_and_probes(len(line))
+                    ascii_line = line.isascii()
+                    data = line.encode("utf-8", "surrogatepass") if ascii_line else line
+                    for indexed, partner, i, at, size in plan:
+                        part = data[at : at + size]
+                        keys.append(digest(part if ascii_line else part.encode("utf-8", "surrogatepass"), partner << 8 | i))
+                        kinds.append(indexed)
+                    lines += [number] * len(plan)
             key = np.array(keys, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lines, pa.int64()), pa.array(kinds, pa.bool_())], names=["key", "line", "indexed"])
 
     return texts.mapInArrow(run, "key long, line long, indexed boolean")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of lines where one probes a key that the other indexes and the parities allow it.
+def survivors(rows: DataFrame) -> DataFrame:
+    """(key, line) of lines that share a key, which one of them indexes, with a line their parities allow.
 
     Rows come sorted by key, so a task holds one key's distinct lines at a time, 9 bytes each,
-    and compares them in blocks; only pairs that pass leave the task.
+    and compares them in blocks. At most one row leaves per line and key.
     """
     ordered = rows.repartition("key").sortWithinPartitions("key", "line")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("line", pa.int64())])
 
-    def pairs(line: np.ndarray, indexed: np.ndarray):
+    def partnered(line: np.ndarray, indexed: np.ndarray) -> np.ndarray:
         line, at = np.unique(line, return_inverse=True)
-        has = np.zeros(len(line), bool)
-        has[at[indexed]] = True
         low = line.astype(np.uint64) & np.uint64(0xFFFFFFFF)
-        base = np.flatnonzero(has)
+        keep = np.zeros(len(line), bool)
+        base = np.unique(at[indexed])
         for i in range(0, len(base), BLOCK):
             mine = base[i : i + BLOCK]
             for j in range(0, len(line), BLOCK):
                 near = np.bitwise_count(low[mine][:, None] ^ low[j : j + BLOCK][None, :]) <= 4 * MOST_EDITS
-                x, y = np.nonzero(near)
-                a, b = line[mine[x]], line[j + y]
-                both = a != b
-                if both.any():
-                    yield np.minimum(a, b)[both], np.maximum(a, b)[both]
+                near &= mine[:, None] != np.arange(j, min(j + BLOCK, len(line)))[None, :]
+                keep[mine[near.any(1)]] = True
+                keep[j : j + BLOCK] |= near.any(0)
+        return line[keep]
 
     def run(batches):
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
-
         def found(key, line, indexed):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             for i in np.flatnonzero(np.diff(cuts) > 1):
                 part = slice(cuts[i], cuts[i + 1])
                 if indexed[part].any() and line[part][0] != line[part][-1]:
-                    yield from pairs(line[part], indexed[part])
+                    kept = partnered(line[part], indexed[part])
+                    yield np.full(len(kept), key[cuts[i]]), kept
 
         def out(parts):
             if parts:
@@ -191,6 +213,8 @@ def candidates(rows: DataFrame) -> DataFrame:
 
         held: list[list[np.ndarray]] = []  # batches of the key that is still open
         for batch in batches:
+            if not batch.num_rows:
+                continue
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "indexed")]
             if held and new[0][-1] == held[0][0][-1]:
                 held.append(new)  # all of one key so far
@@ -202,7 +226,7 @@ def candidates(rows: DataFrame) -> DataFrame:
         if held:
             yield from out(list(found(*(np.concatenate([h[i] for h in held]) for i in range(3)))))
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "key long, line long")
 
 
 def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -211,30 +235,67 @@ def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         seen = set()
         for batch in batches:
-            rows = distinct_lines(batch.column("text"), seen)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["line", "form"])
+            for ids, found in distinct_lines(batch.column("text"), seen):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found, pa.string())], names=["line", "form"])
 
     few = wanted.count() <= BROADCAST_LINES
     lines = texts.mapInArrow(run, "line long, form string")
     return lines.join(F.broadcast(wanted) if few else wanted, "line").distinct()
 
 
-def near_lines(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Digests (a, b) of all pairs of different lines within the limit."""
-    pairs = scratch.keep(candidates(substring_rows(texts)), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    forms = scratch.keep(line_texts(texts, wanted), "line-forms")
-    both = pairs.join(forms.select(F.col("line").alias("a"), F.col("form").alias("x")), "a").join(
-        forms.select(F.col("line").alias("b"), F.col("form").alias("y")), "b"
-    )
+def near_lines(texts: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Digests of the lines of which an earlier one is within the limit.
+
+    The lines that share a key come together with their texts, earliest first; each is
+    compared with those before it until one is near. A row leaves per line found, not per pair.
+    """
+    shared = scratch.keep(survivors(substring_rows(texts)), "line-keys")
+    forms = scratch.keep(line_texts(texts, shared.select("line").distinct()), "line-forms")
+    placed = forms.withColumn("digest", F.unhex(F.md5("form"))).join(firsts.select("digest", "first"), "digest")
+    met = shared.join(placed, "line").repartition("key").sortWithinPartitions("key", "first")
 
     def run(batches):
+        key, low, forms, done = None, [], [], set()
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = pa.array([a != b and within(a, b, edits_for(min(len(a), len(b)))) for a, b in zip(x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("x", "y")], names=["x", "y"])
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("key", "line", "digest", "form")]
+            for mine, line, digest, form in zip(*columns):
+                if mine != key:
+                    key, low, forms = mine, [], []
+                bits = line & 0xFFFFFFFF
+                if low and digest not in done:
+                    before = np.array(low, dtype=np.uint64)
+                    for i in np.flatnonzero(np.bitwise_count(before ^ np.uint64(bits)) <= 4 * MOST_EDITS):
+                        other = forms[i]
+                        if within(form, other, edits_for(min(len(form), len(other)))):
+                            done.add(digest)
+                            out.append(digest)
+                            break
+                low.append(bits)
+                forms.append(form)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["digest"])
+
+    return met.select("key", "line", "digest", "form").mapInArrow(run, "digest binary").distinct()
+
+
+def numbered_lines(rows: DataFrame) -> DataFrame:
+    """doc_id, row_key, line_no and digest of every line with a word."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line_no", pa.int32()), ("digest", pa.binary())])
 
-    return both.select("x", "y").mapInArrow(run, "x string, y string").select(F.unhex(F.md5("x")).alias("a"), F.unhex(F.md5("y")).alias("b"))
+    def run(batches):
+        for batch in batches:
+            owners, numbers, digests = [], [], []
+            for row, text in enumerate(batch.column("text")):
+                for number, form in enumerate(forms_of(text.as_py())):
+                    if form:
+                        owners.append(row)
+                        numbers.append(number)
+                        digests.append(hashlib.md5(form).digest())
+            owner = pa.array(owners, pa.int32())
+            arrays = [batch.column("doc_id").take(owner), batch.column("row_key").take(owner), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return rows.mapInArrow(run, "doc_id long, row_key long, line_no int, digest binary")
 
 
 def split_lines(text: Column) -> Column:
@@ -254,24 +315,10 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     text = text_of(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), text).alias("row_key"), text.alias("text"))
-    form = ascii_lower(F.trim(F.col("line"), F.lit(GAP_CHARS)))
-    lines = scratch.keep(
-        rows.select("doc_id", "row_key", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
-        .withColumn("form", form)
-        .where("form <> ''")
-        .select("doc_id", "row_key", "line_no", F.unhex(F.md5("form")).alias("digest")),
-        "lines",
-    )
+    lines = scratch.keep(numbered_lines(rows), "lines")
     place = F.struct("doc_id", "row_key", "line_no")
     firsts = scratch.keep(lines.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-firsts")
-    near = near_lines(rows.select("text"), scratch)
-    later = (
-        near.join(firsts.select(F.col("digest").alias("a"), F.col("first").alias("fa")), "a")
-        .join(firsts.select(F.col("digest").alias("b"), F.col("first").alias("fb")), "b")
-        .select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("digest"))
-        .distinct()
-        .withColumn("near", F.lit(True))
-    )
+    later = near_lines(rows.select("text"), firsts, scratch).withColumn("near", F.lit(True))
     known = scratch.keep(firsts.join(later, "digest", "left").where("n > 1 or near"), "line-known")
     judged = join_repeated(lines, known, "digest", "n", F.concat_ws("~", "row_key", "line_no"))
     gone = F.coalesce("near", F.lit(False)) | F.coalesce(F.col("first") != place, F.lit(False))
