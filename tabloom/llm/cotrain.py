@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, VectorAssembler
@@ -23,6 +24,8 @@ CALIBRATION = 5  # one labelled row in so many calibrates and is never fitted on
 TEXT_WORDS = 1 << 14
 LEAST_DOCS = 5
 ALWAYS = "\x00"
+#: Tasks of a fitting step; the sample is bounded, so are its passes.
+FIT_TASKS = 4
 META_FEATURES = 1 << 12
 VIEWS = ("text", "meta")
 PENALTY = {"text": 3e-3, "meta": 1e-3}
@@ -201,8 +204,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     vocabulary = vectorizer.fit(tokens)
     heads = {name: Head(0.5, {}, None) for name in HEADS}
     if "key" in tokens.columns:
-        rows = scratch.keep(with_views(tokens, vocabulary), "sample-views")
-        heads = {name: co_train(rows, name, scratch) for name in HEADS}
+        rows = scratch.keep(with_views(tokens, vocabulary).coalesce(FIT_TASKS), "sample-views")  # bounded rows
+        with ThreadPool(len(HEADS)) as pool:
+            heads = dict(zip(HEADS, pool.map(lambda name: co_train(rows, name, scratch), HEADS)))
     scored = with_views(with_tokens(docs, ["doc_id"]), vocabulary)
     for name, head in heads.items():
         scored = both_margins(scored, head.models, f"_{name}") if head.models else scored.withColumns(
