@@ -17,6 +17,11 @@ from tabloom.llm.rules import drop_rejected
 from tabloom.llm.tokens import tokenized
 
 
+#: Documents are near duplicates if the Jaccard similarity of their sets of five words in a row is 0.8 or more.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a base rule or a certified cutoff go."""
     return drop_rejected(docs, read(spark, sf_dir, "labels"))
@@ -28,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows with that id one stays. Rows without shingles and rows without an id cannot stand
     for a group or be named by one and stay.
     """
-    found = jaccard_components(docs)
+    found = jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
     keep = found.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
     wordless = ~text_of(F.col("text")).rlike(r"[^\x20\x09-\x0D]")
     body = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), wordless.alias("_wordless"))

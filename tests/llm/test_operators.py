@@ -508,3 +508,22 @@ def test_near_duplicates_stage_edges(spark, edge, sf_dir):
     assert multiset(x for x in kept if x in free) == multiset(free)
     named = [x for x in kept if x not in free]
     assert len({i for i, _ in named}) == len(named) and (1, EDGE[0][1]) in named
+
+
+def test_near_duplicates_stage_uses_five_words(spark, small, sf_dir):
+    docs, rows = small
+    sets = []
+    for _, t in rows:
+        w = brute.words(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set()))
+    classes = list(range(len(rows)))  # rows come in order of doc_id
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n and 100 * n >= 80 * len(a | sets[j]) and classes[i] != classes[j]:
+                old, new = max(classes[i], classes[j]), min(classes[i], classes[j])
+                classes = [new if c == old else c for c in classes]
+    left = [x for k, x in enumerate(rows) if classes[k] == k]
+    assert multiset((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == multiset(left)
+    _, narrow = brute.jaccard_classes(rows)
+    assert len(left) < sum(c == k for k, c in enumerate(narrow))
