@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tabloom.llm import brown, cotrain, decontam, jaccard, lines, mixing, rules, sharding, tokens, warc
 from . import brute
-from .conftest import edge_rows
+from .conftest import edge_rows, prose
 
 EDGE = [(r[0], r[1]) for r in edge_rows()]
 
@@ -362,6 +362,24 @@ def test_mix(which, edge, small):
         assert cut[i] == sum(r["taken"] for r in got if r["doc_id"] == i)
 
 
+def test_mix_reaches_small_targets_with_large_blocks(spark):
+    """Sources far below a block end at their targets, and every block has a slot of its own."""
+    rows = [(k, ["a", "b", "c"][k % 3], prose(k, 400)) for k in range(60)] + [(100, "x", prose(1, 12)), (101, "y", prose(2, 3)), (102, "z", prose(3, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for slots in (8, None):
+        documents, pieces = mixing.mix(docs, slots=slots)
+        got, cut = documents.collect(), pieces.collect()
+        taken, target = defaultdict(int), {r["source"]: r["target"] for r in got}
+        for r in got:
+            taken[r["source"]] += r["taken"]
+        assert all(abs(taken[s] - target[s]) <= 0.5 for s in target) and taken["x"] == 24
+        numbers, words = {p["slot"] for p in cut}, Counter()
+        for p in cut:
+            words[p["slot"]] += p["n_words"]
+        assert numbers == set(range(len(numbers))) and len({(p["slot"], p["source"]) for p in cut}) == len(numbers)
+        assert max(words.values()) <= (mixing.BLOCK_WORDS if slots is None else -(-sum(map(round, target.values())) // slots))
+
+
 def test_mix_rows(edge, nothing):
     documents, _ = mixing.mix(edge)
     rows = mixing.taken_rows(edge, documents)
