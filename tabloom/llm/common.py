@@ -124,18 +124,22 @@ def attempt_name(prefix: str, suffix: str) -> str:
 HOT = 0.001
 
 
-def join_repeated(left: DataFrame, right: DataFrame, key: str, rows: str, own: Column) -> DataFrame:
+def join_repeated(left: DataFrame, right: DataFrame, key: str, rows: str, own: Column, total: int | None = None) -> DataFrame:
     """Left join of a large table to one row per key, where a few keys may hold most of `left`.
 
     `right` states in `rows` how many rows of `left` have its key. Keys with a share of HOT or
     more are few by arithmetic and are broadcast; their rows then get a key of their own (made
-    from `own`), so the shuffled join of the rest never sees a hot key.
+    from `own`), so the shuffled join of the rest never sees a hot key. Should such a key equal
+    a real one, the broadcast row still counts. Keys are binary or long; `total` is the number of rows if known.
     """
-    total = right.agg(F.sum(rows)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(rows)).first()[0] or 0
     kept = [c for c in right.columns if c not in (key, rows)]
     hot = right.where(F.col(rows) >= HOT * total).select(key, F.struct(*kept).alias("_hot"))
     cold = right.where(F.col(rows) < HOT * total).select(F.col(key).alias("_key"), F.struct(*kept).alias("_cold"))
-    spread = F.xxhash64(F.lit(1), own).cast("string").cast("binary")
+    spread = F.xxhash64(F.lit(1), own)
+    if left.schema[key].dataType.typeName() == "binary":
+        spread = spread.cast("string").cast("binary")
     found = (
         left.join(F.broadcast(hot), key, "left")
         .withColumn("_key", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.col(key)))

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, join_repeated
 
+#: Tables of so many edges and more keep hubs, nodes with a thousandth of all edges, out of the shuffled join.
+HUB_EDGES = 20_000
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (a > b): neighbours of a node are hung on its smallest neighbour."""
+
+def star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One star step on `rows` edges (a > b): neighbours of a node are hung on its smallest neighbour."""
     if large:
         sides = F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
         around = edges.select(sides)
     else:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = around.groupBy("u").agg(F.min("v").alias("_m"))
-    joined = around.join(least, "u").withColumn("m", F.least("u", "_m"))
+    least = around.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("_n"))
+    if rows < HUB_EDGES:
+        joined = around.join(least, "u")
+    else:
+        joined = join_repeated(around, least, "u", "_n", F.xxhash64("u", "v"), total=rows * (1 + large))
+    joined = joined.withColumn("m", F.least("u", "_m"))
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -37,14 +44,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     current = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
     )
+    rows = current.count()
     while True:
-        half = scratch.keep(star(current, True), name)
+        half = scratch.keep(star(current, True, rows), name)
         scratch.drop(current)
-        current = scratch.keep(star(half, False), name)
+        current = scratch.keep(star(half, False, half.count()), name)
         scratch.drop(half)
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        seen = mark
+        seen, rows = mark, mark[0]
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

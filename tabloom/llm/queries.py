@@ -11,6 +11,7 @@ from .mixing import op7_golden_schedule
 from .rules import op3_risk_controlled_rules
 from .tokens import op10_zstd_dictionary_shards
 from .sharding import op8_virtual_slots
+from .simhash import op13_simhash_trie_join
 from .warc import op6_gzip_member_records
 
 def pipeline(spark, sf_dir):
@@ -32,6 +33,7 @@ QUERIES = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_ngram_hash_set": op9_ngram_hash_set,
     "op10_zstd_dictionary_shards": op10_zstd_dictionary_shards,
+    "op13_simhash_trie_join": op13_simhash_trie_join,
 }
 
 SQL: dict[str, str] = {}
