@@ -9,6 +9,7 @@ from .jaccard import op4_signature_tree_join
 from .lines import op5_segment_edit_join
 from .mixing import op7_golden_schedule
 from .rules import op3_risk_controlled_rules
+from .runs import op12_scale_tiled_runs
 from .tokens import op10_zstd_dictionary_shards
 from .sharding import op8_virtual_slots
 from .simhash import op13_simhash_trie_join
@@ -33,6 +34,7 @@ QUERIES = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_ngram_hash_set": op9_ngram_hash_set,
     "op10_zstd_dictionary_shards": op10_zstd_dictionary_shards,
+    "op12_scale_tiled_runs": op12_scale_tiled_runs,
     "op13_simhash_trie_join": op13_simhash_trie_join,
 }
 

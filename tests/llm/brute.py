@@ -116,3 +116,40 @@ def edit_distance(a, b):
 
 def sha1_base32(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def planted_runs(doc_id, text):
+    """Words of a text after the contract's repeats."""
+    w = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    g = h // 10
+    a = g % len(w)
+    p = 1 + (len(w) - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+
+
+def runs_of(w, least=12):
+    """[(start, length, period)]: maximal stretches with smallest period q of max(least, 2q) words or more."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, 2 * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def runs_row(doc_id, w):
+    runs = runs_of(w)
+    dropped = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else None
+    listed = "".join(f"{s},{n},{q}\n" for s, n, q in sorted(runs, key=lambda r: (r[0], r[2])))
+    kept = " ".join(x for i, x in enumerate(w) if i not in dropped)
+    top = (best[0], best[1], best[2], 1000 * best[1] // best[2]) if best else (None,) * 4
+    return (doc_id, len(runs), *top, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
