@@ -13,6 +13,7 @@ from .runs import op12_scale_tiled_runs
 from .tokens import op10_zstd_dictionary_shards
 from .sharding import op8_virtual_slots
 from .simhash import op13_simhash_trie_join
+from .spelling import op11_bloom_neighbourhoods
 from .warc import op6_gzip_member_records
 
 def pipeline(spark, sf_dir):
@@ -34,6 +35,7 @@ QUERIES = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_ngram_hash_set": op9_ngram_hash_set,
     "op10_zstd_dictionary_shards": op10_zstd_dictionary_shards,
+    "op11_bloom_neighbourhoods": op11_bloom_neighbourhoods,
     "op12_scale_tiled_runs": op12_scale_tiled_runs,
     "op13_simhash_trie_join": op13_simhash_trie_join,
 }

@@ -153,3 +153,43 @@ def runs_row(doc_id, w):
     kept = " ".join(x for i, x in enumerate(w) if i not in dropped)
     top = (best[0], best[1], best[2], 1000 * best[1] // best[2]) if best else (None,) * 4
     return (doc_id, len(runs), *top, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+RUNS = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def spelling_counts(rows, planted=True, least=7):
+    n = Counter()
+    for i, t in rows:
+        for w in RUNS.findall(t or ""):
+            w = lower(w)
+            h = zlib.crc32(f"{i}:{w}".encode())
+            if planted and i is not None and h % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            if len(w) >= least:
+                n[w] += 1
+    return {w: k for w, k in n.items() if k >= 2}
+
+
+def spelling_rows(n):
+    """[(word, form, root, n, n_near, form_n)]: words without one place are buckets, their members are compared in full."""
+    buckets = defaultdict(set)
+    for w in n:
+        buckets[w].add(w)
+        for k in range(len(w)):
+            buckets[w[:k] + w[k + 1 :]].add(w)
+    near = defaultdict(set)
+    for group in buckets.values():
+        for a in group:
+            near[a] |= {b for b in group if a != b and edit_distance(a, b) == 1}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
