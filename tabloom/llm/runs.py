@@ -128,9 +128,9 @@ def numbered(words: list[bytes]) -> np.ndarray:
 def solve(texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
     """Per whole text, as numbers of words, the stretches (period, start, end) that make a run or a multiple of one."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))  # long texts first: an octave asks only those it fits into
-    sizes = np.array([len(texts[i]) for i in order])
+    sizes = np.array([len(texts[i]) for i in order], dtype=np.int64)
     starts = np.r_[0, np.cumsum(sizes)]
-    ids, text = np.concatenate([texts[i] for i in order]) if len(order) else np.zeros(0, np.int32), np.repeat(np.arange(len(order)), sizes)
+    ids, text = np.concatenate([np.zeros(0, np.int32), *[texts[i] for i in order]]), np.repeat(np.arange(len(order)), sizes)
     found: list[list] = [[] for _ in texts]
     for octave in range(48):
         fit = int((sizes >= max(LEAST, 2 << octave)).sum())
