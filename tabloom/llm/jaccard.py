@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch, join_repeated, read, text_of
 from .components import components
@@ -28,6 +28,8 @@ SPARE = 3
 TASK_SHINGLES = 4_000_000
 TASK_SETS = 8192
 KNOWN_WORDS = 1_000_000
+#: Sets in blocks up to which their rows are named to every task; beyond, all texts are shuffled once.
+BROADCAST_SETS = 1_000_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -116,6 +118,8 @@ def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
 SETS = pa.schema(
     [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64()))]
 )
+#: Sets of which a task remembers that it has given their part keys already.
+SEEN_SETS = 1 << 17
 
 
 def set_name(shingles: np.ndarray) -> bytes:
@@ -123,17 +127,21 @@ def set_name(shingles: np.ndarray) -> bytes:
 
 
 def shingle_sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row its number of shingles, the name of its set and its part keys (none for an empty set)."""
+    """Per row its number of shingles, the name of its set and its part keys (none for an empty set or one this task has met before)."""
 
     def run(batches):
-        shingle = Shingler(width)
+        shingle, seen = Shingler(width), set()
         for batch in batches:
             sizes, names, keys = [], [], []
             for text in batch.column("text"):
                 shingles = shingle(text.as_py())
+                name = set_name(shingles) if len(shingles) else None
                 sizes.append(len(shingles))
-                names.append(set_name(shingles) if len(shingles) else None)
-                keys.append(part_keys(shingles, percent) if len(shingles) else [])
+                names.append(name)
+                keys.append([] if name is None or name in seen else part_keys(shingles, percent))
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(name)
             arrays = [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, schema=SETS)
 
@@ -244,7 +252,7 @@ def tree_links(members: DataFrame, width: int, percent: int) -> DataFrame:
         nodes, chunks, sets = [], [], []
         for node, c, name, text in rows:
             shingles = shingle(text)
-            if (not nodes or nodes[-1] != node) and set_name(shingles) == name:  # repeated rows; hash twins of row keys
+            if (not nodes or nodes[-1] != node) and set_name(shingles) == name:  # not a hash twin of the row key
                 nodes.append(node)
                 chunks.append(c)
                 sets.append(shingles)
@@ -276,47 +284,79 @@ def tree_links(members: DataFrame, width: int, percent: int) -> DataFrame:
     return tasks.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id.
+def set_blocks(keyed: DataFrame) -> DataFrame:
+    """(node, root) of the sets that share a part key, directly or through others.
 
-    Words are split at ASCII gaps and A-Z lower-cased; a text of fewer than `width` words is
-    one shingle. component_id is the smallest doc_id among the documents that links connect.
-    Null and empty texts, and those without words, have no shingles, no links and their own id.
-    Null ids take part but never name a component that holds another id. Repeated rows are
-    copies of each other. An empty table gives no rows. Other columns are not read. Shingles
-    are compared by 64-bit hashes.
+    A set is named by 64 bits of its name here; sets that share those share a block, no more. Keys
+    are shuffled straight from the rows; each task has given those of a set once.
+    """
+    pairs = keyed.where("set_id is not null").select(F.xxhash64("set_id").alias("node"), F.explode("keys").alias("key"))
+    least = F.min("node").over(Window.partitionBy("key"))
+    meet = pairs.withColumn("least", least).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return components(meet, "jaccard-blocks")
+
+
+def row_key() -> Column:
+    """What names a row: its doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_of(F.col("text")))
+
+
+def jaccard_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The columns of jaccard_components, the row's own key, and `keeper`, the key of the row that stands for its component.
+
+    That is the row with the smallest doc_id of the component, of several the one with the smallest key. Two texts of one
+    doc_id are rows of their own; rows that repeat share a key.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    text = text_of(F.col("text"))
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), text.alias("text"))
-    sets = scratch.keep(shingle_sets(rows, width, percent), "shingle-sets")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text_of(F.col("text")).alias("text"))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")  # a row without an id comes last
+    keyed = scratch.keep(shingle_sets(rows, width, percent), "shingle-sets")
+    sets = scratch.keep(keyed.drop("keys"), "shingle-names")
+    blocks = scratch.keep(set_blocks(keyed), "jaccard-members")
+    scratch.drop(keyed)
     distinct = (
         sets.where("set_id is not null")
         .groupBy("set_id")
-        .agg(
-            F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.count("*").alias("copies"),
-            F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"),
-        )
+        .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
+        .withColumn("row_key", F.col("first.row_key"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     distinct = scratch.keep(distinct, "shingle-nodes")  # numbers are fixed by being written
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
-    least = F.min("node").over(Window.partitionBy("key"))
-    meet = keyed.withColumn("least", least).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    blocks = scratch.keep(components(meet, "jaccard-blocks"), "jaccard-members")
-    wanted = distinct.select("node", "row_key", "set_id", "n_shingles").join(blocks.withColumnRenamed("root", "block"), "node")
-    members = rows.select("row_key", "text").join(wanted, "row_key").select("node", "block", "n_shingles", "set_id", "text")
-    found = scratch.keep(tree_links(scratch.keep(members, "jaccard-texts"), width, percent), "jaccard-links")
+    wanted = distinct.withColumn("set", F.xxhash64("set_id")).join(blocks.withColumnRenamed("node", "set").withColumnRenamed("root", "block"), "set")
+    wanted = scratch.keep(wanted.select("node", "block", "row_key", "set_id", "n_shingles"), "jaccard-wanted")
+    once = rows.select("row_key", "text")
+    if wanted.count() <= BROADCAST_SETS:  # 60 bytes each
+        members = once.join(F.broadcast(wanted), "row_key")
+    else:
+        members = once.join(wanted, "row_key")
+    members = members.select("node", "block", "n_shingles", "set_id", "text").dropDuplicates(["node"])  # repeated rows
+    texts = scratch.keep(members, "jaccard-texts")
+    found = scratch.keep(tree_links(texts, width, percent), "jaccard-links")
+    scratch.drop(texts, blocks, wanted)
     roots = components(found, "jaccard-links")
-    ids = distinct.select("node", "set_id", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = ids.join(ids.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").where("copies > 1 or component_id <> first_id")
-    result = join_repeated(
-        sets.select("doc_id", "row_key", "n_shingles", "set_id"),
-        scratch.keep(named.select("set_id", "component_id", "copies"), "jaccard-names"), "set_id", "copies", F.col("row_key"),
+    ids = distinct.select("node", "set_id", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = ids.groupBy("root").agg(F.min("first").alias("keeper"))
+    named = ids.join(least, "root").where("copies > 1 or first <> keeper")
+    names = scratch.keep(named.select("set_id", F.col("keeper.doc_id").alias("component_id"), F.col("keeper.row_key").alias("keeper"), "copies"), "jaccard-names")
+    scratch.drop(distinct, found)
+    result = join_repeated(sets.select("doc_id", "row_key", "n_shingles", "set_id"), names, "set_id", "copies", F.col("row_key"))
+    return result.select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "row_key", F.coalesce("keeper", "row_key").alias("keeper")
     )
-    return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id.
+
+    Words are split at ASCII gaps and A-Z lower-cased; a text of fewer than `width` words is
+    one shingle. component_id is the smallest doc_id among the documents that links connect.
+    Null and empty texts, and those without words, have no shingles, no links and their own id.
+    Null ids take part but never name a component that holds another id. Repeated rows are
+    copies of each other. An empty table gives no rows. Other columns are not read. Shingles
+    are compared by 64-bit hashes.
+    """
+    return jaccard_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

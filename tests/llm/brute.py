@@ -38,14 +38,14 @@ def rule_counts(text):
     return (*counts, len(w) < 50 or 100 * len(repeated) > 50 * len(w))
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = words(text)
-    return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
-def jaccard_classes(rows, percent=90):
+def jaccard_classes(rows, percent=90, width=3):
     """Index of the class of every row."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, width) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):

@@ -491,7 +491,7 @@ def test_pipeline_stages(spark, small, sf_dir):
     left = [(i, t) for i, t in rows if not brute.rule_counts(t)[5]]  # no stratum of this table has labels enough
     assert multiset((r["doc_id"], r["text"]) for r in ruled.collect()) == multiset(left)
     single = corpus_pipeline.near_duplicates(spark, ruled, sf_dir)
-    _, classes = brute.jaccard_classes(left)
+    _, classes = brute.jaccard_classes(left, 80, 5)
     left = [x for k, x in enumerate(left) if classes[k] == k]
     assert multiset((r["doc_id"], r["text"]) for r in single.collect()) == multiset(left)
     clean = corpus_pipeline.decontamination(spark, single, sf_dir)
@@ -528,6 +528,24 @@ def test_near_duplicates_stage_edges(spark, edge, sf_dir):
     assert len({i for i, _ in named}) == len(named) and (1, EDGE[0][1]) in named
 
 
+def test_near_duplicates_stage_keeps_every_text(spark, sf_dir):
+    """Of one id with two texts each is judged by itself, in any order of the rows."""
+    a, b, c = (prose(k, 80) for k in (1, 2, 3))
+    rows = [(1, a), (11, a), (11, b), (11, b), (12, c), (12, a + " tail"), (13, c), (14, None)]
+    kept = [(1, a), (11, b), (12, c), (14, None)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame([(i, t, f"{k}") for k, (i, t) in enumerate(order)], "doc_id long, text string, keeper string").repartition(3)
+        out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert multiset(r[:2] for r in out.collect()) == multiset(kept)
+
+
+def test_repeated_rows_are_one_set(spark):
+    docs = spark.createDataFrame([(i % 2, prose(7, 60)) for i in range(500)] + [(5, prose(7, 60) + " x")], "doc_id long, text string").repartition(7)
+    got = jaccard.jaccard_components(docs).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 501
+
+
 def test_near_duplicates_stage_uses_five_words(spark, small, sf_dir):
     docs, rows = small
     sets = []
