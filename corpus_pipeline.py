@@ -7,11 +7,11 @@ documents table; the last describes each document of the token files, read back
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabloom.llm.common import Scratch, read, text_of
 from tabloom.llm.decontam import decontaminate
-from tabloom.llm.jaccard import jaccard_components
+from tabloom.llm.jaccard import jaccard_rows, row_key
 from tabloom.llm.mixing import mix, taken_rows
 from tabloom.llm.rules import drop_rejected
 from tabloom.llm.tokens import tokenized
@@ -22,24 +22,39 @@ NEAR_WORDS = 5
 NEAR_PERCENT = 80
 
 
+#: Row keys up to which they are broadcast, 8 bytes each; beyond, rows are shuffled by their keys.
+FEW_KEYS = 1_000_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys
+
+
+def wordless(text: Column) -> Column:
+    return ~text_of(text).rlike(r"[^\x20\x09-\x0D]")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a base rule or a certified cutoff go."""
     return drop_rejected(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays.
+    """Of each group of linked documents the row with the smallest doc_id stays, of several the one with the smallest row key.
 
-    Of rows with that id one stays. Rows without shingles and rows without an id cannot stand
-    for a group or be named by one and stay.
+    Rows are told apart by id and text, so of an id with several texts each text is judged by itself; rows that
+    repeat wholly are one. Rows without shingles and rows without an id cannot stand for a group or be named by one and stay.
     """
-    found = jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
-    keep = found.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
-    wordless = ~text_of(F.col("text")).rlike(r"[^\x20\x09-\x0D]")
-    body = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), wordless.alias("_wordless"))
-    free = F.col("_wordless") | F.col("_id").isNull()
-    named = body.where(~free).join(keep.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").dropDuplicates(["_id"])
-    return named.select("_row.*").unionByName(body.where(free).select("_row.*"))
+    scratch = Scratch(spark)
+    found = scratch.keep(jaccard_rows(docs, NEAR_WORDS, NEAR_PERCENT), "near-duplicate-rows")
+    judged = found.where("doc_id IS NOT NULL AND n_shingles > 0")
+    gone = judged.where("row_key <> keeper").select(F.col("row_key").alias("_key")).distinct()
+    again = judged.where("row_key = keeper").groupBy(F.col("row_key").alias("_key")).count().where("count > 1").select("_key")
+    rows = docs.select(F.struct("*").alias("_row"), row_key().alias("_key"), (F.col("doc_id").isNull() | wordless(F.col("text"))).alias("_free"))
+    left = rows.join(small(gone), (rows["_key"] == gone["_key"]) & ~rows["_free"], "left_anti")
+    repeated = left.join(small(again), "_key", "left_semi").where(~F.col("_free")).dropDuplicates(["_key"])
+    single = left.join(small(again), (left["_key"] == again["_key"]) & ~left["_free"], "left_anti")
+    return single.select("_row.*").unionByName(repeated.select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
