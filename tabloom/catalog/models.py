@@ -5,10 +5,11 @@ from __future__ import annotations
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import q
-from ..operators import learners as ln, search
+from ..operators import histograms, learners as ln, search, svm
 from ..operators.encode import fit_scaler
 from ..operators.impute import fit_imputer
 from ..operators.target import label_index, label_list
@@ -16,7 +17,7 @@ from ..plans.prepare import Preparer, assemble
 from ..plans.run import run
 from ..session import new_path, sized
 from ..streaming.scoring import read_table_stream, score_stream
-from .fixtures import messy, rounded, split, table, train_rows, with_messy, with_split
+from .fixtures import messy, rounded, split, table, train_rows, union_all, with_messy, with_split
 from .registry import check
 
 _FEATURES = ["price", "spiky", "shop", "skewed"]
@@ -119,7 +120,7 @@ def _slope_sql(slope: str) -> str:
 @check("linear_coeffs", _slope_sql("(sxy / sxx)"))
 def linear_coeffs(spark, sf_dir):
     rows = _one_feature(spark, sf_dir)
-    return _line(spark, ln._number_estimator("linear_regression", rows, {}, 42), rows)
+    return _line(spark, ln._number_estimator("linear_regression", rows, {}), rows)
 
 
 @check("ridge_coeffs", _slope_sql("(sxy / (sxx + 100))"))
@@ -131,7 +132,152 @@ def ridge_coeffs(spark, sf_dir):
 @check("lasso_coeffs", _slope_sql("((sxy / n - 1.0) / (sxx / n))"))
 def lasso_coeffs(spark, sf_dir):
     rows = _one_feature(spark, sf_dir)
-    return _line(spark, ln._number_estimator("lasso", rows, {"alpha": 1.0}, 42), rows)
+    return _line(spark, ln._number_estimator("lasso", rows, {"alpha": 1.0}), rows)
+
+
+# -- squared hinge, histograms and node tables against SQL -------------------------------------------
+
+_SVM_C = 1e-6
+
+
+@check(
+    "svm_coeffs",
+    with_messy(
+        f""", d AS (SELECT price_twin / 1000000 AS x, CASE WHEN o_totalprice > 250000 THEN 1.0E0 ELSE -1.0E0 END AS y
+          FROM m JOIN (SELECT o_orderkey AS k, o_totalprice FROM orders) ON k = o_orderkey),
+        g AS (SELECT count(*) + 1 / (2 * {_SVM_C}) AS n, sum(x) AS sx, sum(x * x) + 1 / (2 * {_SVM_C}) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM d)
+        SELECT round((n * sxy - sx * sy) / (n * sxx - sx * sx), 6) AS slope, round((sxx * sy - sx * sxy) / (n * sxx - sx * sx), 6) AS intercept FROM g"""
+    ),
+)
+def svm_coeffs(spark, sf_dir):
+    """With so small a C every row is inside the margin, where squared hinge is squared error and the optimum has a closed form."""
+    df = messy(spark, sf_dir).selectExpr("price_twin / 1000000 AS x", "CASE WHEN y_bin = 'big' THEN 1.0D ELSE 0.0D END AS _label")
+    w = svm.solve(assemble(df, ["x"], ["_label"]), [svm.Problem(1)], _SVM_C, tolerance=1e-10)
+    return spark.createDataFrame([(round(float(w[0, 0]), 6), round(float(w[1, 0]), 6))], "slope double, intercept double")
+
+
+_HIST_COLUMNS = ["price", "spiky", "shop"]
+_HIST_PENALTY = 1.0
+
+
+def _hist_rows(spark, sf_dir, label: str) -> DataFrame:
+    """Raw columns, missing values included."""
+    x = F.array(*[F.coalesce(q(c).cast("double"), F.lit(float("nan"))) for c in _HIST_COLUMNS])
+    return messy(spark, sf_dir).select(array_to_vector(x).alias("features"), F.expr(label).alias("_label"))
+
+
+_BINNED_SQL = (
+    ", raw AS ("
+    + union_all([f"SELECT o_orderkey, {i} AS feature, CAST({c} AS DOUBLE) AS x FROM m" for i, c in enumerate(_HIST_COLUMNS)])
+    + f"), ends AS (SELECT feature, list_distinct(quantile_cont(x, [{', '.join(f'{k}.0E0 / 255' for k in range(1, 255))}])) AS e FROM raw GROUP BY feature),"
+    + " binned AS (SELECT o_orderkey, feature, CASE WHEN x IS NULL THEN 255 ELSE len(list_filter(e, lambda t: t < x)) END AS bin FROM raw JOIN ends USING (feature))"
+)
+
+
+def _gains_sql(name: str, slopes: str, below: str, least: float, penalty: float) -> str:
+    """Gains of all splits of the root from `slopes`: (o_orderkey, unit, g, h); `below` is the sum that gradients are divided by."""
+    return f"""{name}_cells AS (SELECT unit, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM binned JOIN {slopes} USING (o_orderkey) GROUP BY unit, feature, bin),
+    {name}_sums AS (SELECT *, sum(g) OVER f AS ag, sum(h) OVER f AS ah, sum(n) OVER f AS an, sum(g) OVER u AS ug, sum(h) OVER u AS uh, sum(n) OVER u AS un,
+        sum(CASE WHEN bin = 255 THEN g ELSE 0 END) OVER f AS mg, sum(CASE WHEN bin = 255 THEN h ELSE 0 END) OVER f AS mh, sum(CASE WHEN bin = 255 THEN n ELSE 0 END) OVER f AS mn
+        FROM {name}_cells WINDOW f AS (PARTITION BY unit, feature), u AS (PARTITION BY unit, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+    {name}_sides AS (SELECT unit, feature, bin, false AS missing_left, ug AS lg, uh AS lh, un AS ln, ag, ah, an FROM {name}_sums WHERE bin < 255
+        UNION ALL SELECT unit, feature, bin, true, ug + mg, uh + mh, un + mn, ag, ah, an FROM {name}_sums WHERE bin < 255 AND mn > 0),
+    {name} AS (SELECT unit, feature, bin, missing_left, lg, lh, ln, ag, ah, an,
+        lg * lg / (l{below} + {penalty}) + (ag - lg) * (ag - lg) / (a{below} - l{below} + {penalty}) - ag * ag / (a{below} + {penalty}) AS gain
+        FROM {name}_sides WHERE ln > 0 AND ln < an AND l{below} >= {least} AND a{below} - l{below} >= {least})"""
+
+
+def _shares(df: DataFrame) -> DataFrame:
+    """Gains as shares of the best one of their round and output, to six places."""
+    best = F.max("gain").over(Window.partitionBy("round", "unit"))
+    return df.select(
+        F.col("round").cast("long").alias("round"), *[F.col(c).cast("long").alias(c) for c in ("unit", "feature", "bin")], "missing_left",
+        (F.round(F.col("gain") / best, 6) + F.lit(0.0)).alias("gain"),
+    )
+
+
+_SHARE_SQL = "SELECT CAST(round_ AS BIGINT) AS round, CAST(unit AS BIGINT) AS unit, CAST(feature AS BIGINT) AS feature, CAST(bin AS BIGINT) AS bin, missing_left, round(gain / max(gain) OVER (PARTITION BY round_, unit), 6) + 0.0 AS gain FROM"
+
+
+@check(
+    "hist_split_gains",
+    with_messy(
+        _BINNED_SQL
+        + ", s0 AS (SELECT o_orderkey, 0 AS unit, (SELECT avg(y_reg) FROM m) - y_reg AS g, 1.0E0 AS h FROM m), "
+        + _gains_sql("g0", "s0", "h", 1.0, _HIST_PENALTY)
+        + """, best AS (SELECT * FROM g0 ORDER BY gain DESC, feature, bin, missing_left LIMIT 1),
+        s1 AS (SELECT o_orderkey, 0 AS unit, s0.g + CASE WHEN (b.bin = 255 AND missing_left) OR b.bin <= best.bin THEN -0.3E0 * lg / (lh + 1) ELSE -0.3E0 * (ag - lg) / (ah - lh + 1) END AS g, 1.0E0 AS h
+            FROM s0 JOIN binned b USING (o_orderkey) JOIN best ON best.feature = b.feature), """
+        + _gains_sql("g1", "s1", "h", 1.0, _HIST_PENALTY)
+        + f" {_SHARE_SQL} (SELECT 0 AS round_, * FROM g0 UNION ALL SELECT 1 AS round_, * FROM g1)"
+    ),
+)
+def hist_split_gains(spark, sf_dir):
+    """Every split of the roots of two rounds of second-order boosting, missing values on either side."""
+    settings = histograms.hist_settings("number", 1, rounds=2, depth=1)
+    return _shares(histograms.gain_table(_hist_rows(spark, sf_dir, "y_reg"), settings))
+
+
+@check(
+    "softmax_split_gains",
+    with_messy(
+        _BINNED_SQL
+        + """, classes AS (SELECT * FROM (VALUES (0, 'F'), (1, 'O'), (2, 'P')) AS c(unit, name)),
+        s0 AS (SELECT o_orderkey, unit, (SELECT count(*) FROM m AS o WHERE o.y_cls = name) / (SELECT CAST(count(*) AS DOUBLE) FROM m)
+            - CASE WHEN y_cls = name THEN 1 ELSE 0 END AS g, 1.0E0 AS h FROM m, classes), """
+        + _gains_sql("g0", "s0", "n", 0.0, 0.0)
+        + f" {_SHARE_SQL} (SELECT 0 AS round_, * FROM g0)"
+    ),
+)
+def softmax_split_gains(spark, sf_dir):
+    """Splits of the first round's roots, one tree per class on the residuals of the class shares."""
+    settings = histograms.gradient_settings("classes", 3, rounds=1, depth=1)
+    rows = _hist_rows(spark, sf_dir, "CASE y_cls WHEN 'F' THEN 0.0D WHEN 'O' THEN 1.0D ELSE 2.0D END")
+    return _shares(histograms.gain_table(rows, settings))
+
+
+_TREE_COLUMNS = ["spiky", "shop", "total"]
+
+
+def _tree_level(name: str, rows: str) -> str:
+    """The best split of every node of `rows`: (node, k, y) with the columns as 32-bit floats, by Gini impurity."""
+    long = union_all([f"SELECT node, {i} AS feature, CAST({c} AS DOUBLE) AS x, y FROM {rows}" for i, c in enumerate(_TREE_COLUMNS)])
+    return f"""{name}_v AS (SELECT node, feature, x, count(*) AS n, sum(y) AS p FROM ({long}) GROUP BY node, feature, x),
+    {name}_c AS (SELECT *, sum(n) OVER w AS ln, sum(p) OVER w AS lp, sum(n) OVER (PARTITION BY node, feature) AS an, sum(p) OVER (PARTITION BY node, feature) AS ap,
+        lead(x) OVER (PARTITION BY node, feature ORDER BY x) AS next_x FROM {name}_v WINDOW w AS (PARTITION BY node, feature ORDER BY x ROWS UNBOUNDED PRECEDING)),
+    {name}_b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, x) AS r FROM (SELECT *, CAST((lp * lp + (ln - lp) * (ln - lp)) AS DOUBLE) / ln
+        + CAST(((ap - lp) * (ap - lp) + (an - ln - ap + lp) * (an - ln - ap + lp)) AS DOUBLE) / (an - ln) AS gain FROM {name}_c WHERE next_x IS NOT NULL)),
+    {name} AS (SELECT node, feature, (x + next_x) / 2 AS cut, an AS n, ap AS p FROM {name}_b WHERE r = 1)"""
+
+
+_TREE_ROWS = """, rows0 AS (SELECT 0 AS node, CAST(spiky AS REAL) AS spiky, CAST(shop AS REAL) AS shop, CAST(total AS REAL) AS total, y FROM
+    (SELECT spiky, shop, floor(price_twin / 60000) AS total, CASE WHEN y_bin = 'big' THEN 1 ELSE 0 END AS y FROM m))"""
+
+
+@check(
+    "tree_nodes",
+    with_messy(
+        f"""{_TREE_ROWS}, {_tree_level('t0', 'rows0')},
+        rows1 AS (SELECT CASE WHEN CASE feature WHEN 0 THEN spiky WHEN 1 THEN shop ELSE total END <= cut THEN 1 ELSE 2 END AS node, spiky, shop, total, y FROM rows0, t0),
+        {_tree_level('t1', 'rows1')}
+        SELECT CAST(node AS BIGINT) AS node, CAST(feature AS BIGINT) AS feature, round(cut, 4) AS threshold, CAST(n AS BIGINT) AS n_rows,
+            round(1 - (p * p + (n - p) * (n - p)) / (CAST(n AS DOUBLE) * n), 6) + 0.0 AS impurity FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1) WHERE p > 0 AND p < n"""
+    ),
+)
+def tree_nodes(spark, sf_dir):
+    """The root and its children of a decision tree grown to its end, which has neither a depth limit nor bins."""
+    df = messy(spark, sf_dir).selectExpr(
+        "o_orderkey AS _row_id", "spiky", "CAST(shop AS DOUBLE) AS shop", "floor(price_twin / 60000) AS total", "CASE WHEN y_bin = 'big' THEN 1.0D ELSE 0.0D END AS _label"
+    )
+    rows = df.select("_row_id", "_label", array_to_vector(F.array(*[q(c).cast("double") for c in _TREE_COLUMNS])).alias("features"))
+    grown = ln.fit_learner("decision_tree", rows, ln.Job("classification", 2)).forest
+    nodes = grown.nodes(spark).where("node <= 2 AND feature >= 0")
+    return rounded(
+        nodes.select(
+            F.col("node").cast("long").alias("node"), F.col("feature").cast("long").alias("feature"), F.col("threshold"),
+            F.col("rows").cast("long").alias("n_rows"), "impurity",
+        ).withColumn("threshold", F.round("threshold", 4)), 6, "impurity",
+    )
 
 
 # -- search and ensembles -------------------------------------------------------------------------

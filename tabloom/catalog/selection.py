@@ -173,7 +173,7 @@ def elbow_cut(spark, sf_dir):
 @check("rf_importance")
 def rf_importance(spark, sf_dir):
     data = frames(spark, sf_dir, "y_bin")
-    table_ = imp.forest_importances(data.train, data.features, regression=False)
+    table_ = imp.forest_importances(data.train, data.features, data.n_classes)
     return imp.elbow_table(table_)
 
 

@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import new_path
+from . import forest
+
 KEEP_SHARE = 0.95
 
 
 def forest_importances(
-    train: DataFrame, features: list[str], regression: bool, trees: int = 100, depth: int = 10, seed: int = 42
+    train: DataFrame, features: list[str], classes: int, trees: int = 100, depth: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """(feature, importance) from a forest on the assembled `features` vector and `_label`."""
-    common = dict(
-        featuresCol="features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0
-    )
-    if regression:
-        forest = RandomForestRegressor(featureSubsetStrategy="all", **common)
-    else:
-        forest = RandomForestClassifier(featureSubsetStrategy="sqrt", **common)
-    found = forest.fit(train).featureImportances.toArray()
-    rows = [(f, float(v)) for f, v in zip(features, found)]
-    return train.sparkSession.createDataFrame(rows, "feature string, importance double")
+    """(feature, importance) from a forest on the assembled `features` vector and `_label`; `classes` is 0 for numbers."""
+    per_node = max(1, int(len(features) ** 0.5)) if classes else 0
+    growth = forest.Growth(classes, trees, True, per_node, depth, seed=seed)
+    grown = forest.fit(train.drop("_weight"), growth, new_path(train.sparkSession, "importance-forest"))
+    return grown.importances(train.sparkSession, features)
 
 
 def elbow_table(importances: DataFrame, top_n: int | None = None) -> DataFrame:

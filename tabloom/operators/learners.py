@@ -19,8 +19,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import staged
-from . import boosting
+from ..session import new_path, staged
+from . import boosting, forest, histograms, svm
 from .evaluate import mean_vectors
 from .neighbours import BROADCAST_BYTES, knn, nearest, stack, vote
 from .split import simple_sample, with_folds
@@ -28,8 +28,6 @@ from .target import CLASSIFICATION, REGRESSION
 
 # models whose scoring cost grows with their training rows; Job.max_fit_rows bounds these alone
 SLOW_MODELS = ["knn"]
-# MLlib trees stop at depth 30; forests get a lower ceiling in place of "unlimited"
-TREE_DEPTH, FOREST_DEPTH = 30, 10
 CALIBRATION_FOLDS = 5
 
 CLASS_MODELS = [
@@ -87,32 +85,18 @@ def fit_learner(name: str, train: DataFrame, job: Job, params: dict | None = Non
         return _fit_adaboost(train, job, params)
     if name == "linear_svc":
         return _fit_svc(train, job, params)
+    if name in ("decision_tree", "random_forest"):
+        return _fit_trees(name, train, job, params)
+    if name in ("gradient_boosting", "gbt_hist"):
+        return _fit_boosted(name, train, job, params)
     estimator = (
         _class_estimator(name, train, job, params)
         if job.task == CLASSIFICATION
-        else _number_estimator(name, train, params, job.seed)
+        else _number_estimator(name, train, params)
     )
     return MlModel(estimator.fit(train), job.n_classes)
 
 
-def _tree_params(params: dict, ceiling: int) -> dict:
-    depth = params.get("max_depth")
-    return {
-        "maxDepth": ceiling if depth is None else min(depth, 30),
-        "minInstancesPerNode": max(1, params.get("min_samples_split", 2) // 2),
-    }
-
-
-def _boost_params(name: str, params: dict) -> dict:
-    hist = name == "gbt_hist"
-    return {
-        "maxIter": params.get("n_estimators", 100),
-        "stepSize": params.get("learning_rate", 0.3 if hist else 0.1),
-        "maxDepth": params.get("max_depth", 6 if hist else 3),
-        "maxBins": 256 if hist else 32,
-    }
-
-
 def _class_estimator(name: str, train: DataFrame, job: Job, params: dict):
     common = {"featuresCol": "features", "labelCol": "_label"}
     weight = {"weightCol": "_weight"} if job.weighted else {}
@@ -124,19 +108,10 @@ def _class_estimator(name: str, train: DataFrame, job: Job, params: dict):
             **common,
             **weight,
         )
-    if name == "decision_tree":
-        return mlc.DecisionTreeClassifier(seed=job.seed, **_tree_params(params, TREE_DEPTH), **common, **weight)
-    if name == "random_forest":
-        return mlc.RandomForestClassifier(
-            numTrees=params.get("n_estimators", 100), seed=job.seed, **_tree_params(params, FOREST_DEPTH), **common, **weight
-        )
-    if name in ("gradient_boosting", "gbt_hist"):
-        boost = mlc.GBTClassifier(seed=job.seed, **_boost_params(name, params), **common)
-        return boost if job.n_classes <= 2 else mlc.OneVsRest(classifier=boost, parallelism=job.parallelism, **common)
     raise KeyError(name)
 
 
-def _number_estimator(name: str, train: DataFrame, params: dict, seed: int):
+def _number_estimator(name: str, train: DataFrame, params: dict):
     common = {"featuresCol": "features", "labelCol": "_label"}
     linear = {"standardization": False, **common}
     if name == "linear_regression":
@@ -145,15 +120,6 @@ def _number_estimator(name: str, train: DataFrame, params: dict, seed: int):
         return ridge(train, params.get("alpha", 1.0))
     if name == "lasso":
         return mlr.LinearRegression(elasticNetParam=1.0, regParam=params.get("alpha", 1.0), maxIter=5000, **linear)
-    if name == "decision_tree":
-        return mlr.DecisionTreeRegressor(seed=seed, **_tree_params(params, TREE_DEPTH), **common)
-    if name == "random_forest":
-        return mlr.RandomForestRegressor(
-            numTrees=params.get("n_estimators", 100), featureSubsetStrategy="all", seed=seed,
-            **_tree_params(params, FOREST_DEPTH), **common,
-        )
-    if name in ("gradient_boosting", "gbt_hist"):
-        return mlr.GBTRegressor(seed=seed, **_boost_params(name, params), **common)
     raise KeyError(name)
 
 
@@ -194,7 +160,7 @@ def _read_facts(spark: SparkSession, path: str) -> dict:
 
 @dataclass
 class MlModel:
-    """Any MLlib model, one-vs-rest boosting included."""
+    """Any MLlib model."""
 
     model: object
     n_classes: int = 0
@@ -204,12 +170,7 @@ class MlModel:
         out = self.model.transform(df)
         added = [F.col("prediction").alias(f"{prefix}prediction")]
         if self.n_classes:
-            if "probability" in out.columns:
-                probability = vector_to_array("probability")
-            else:
-                margins = vector_to_array("rawPrediction")
-                probability = _normalised(F.transform(margins, lambda m: _sigmoid(2 * m)))
-            added.append(probability.alias(f"{prefix}probability"))
+            added.append(vector_to_array("probability").alias(f"{prefix}probability"))
         return out.select(*keep, *added)
 
     def save(self, path: str) -> None:
@@ -223,36 +184,98 @@ class MlModel:
         return MlModel(model, facts["n_classes"])
 
 
+# -- trees ----------------------------------------------------------------------------------------
+
+
+@dataclass
+class TreeModel:
+    """A decision tree or a forest, kept as node tables."""
+
+    forest: forest.NodeForest
+
+    def transform(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        return self.forest.transform(df, prefix)
+
+    def save(self, path: str) -> None:
+        self.forest.save_to(path)
+        facts = {"kind": "trees", "n_classes": self.forest.n_classes, "trees": self.forest.trees}
+        _write_facts(SparkSession.active(), f"{path}/facts", facts)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, facts: dict) -> "TreeModel":
+        return TreeModel(forest.NodeForest(path, facts["n_classes"], facts["trees"]))
+
+
+def _fit_trees(name: str, train: DataFrame, job: Job, params: dict) -> TreeModel:
+    """A tree over all rows, or a forest over drawn rows; forests of classes look at the root of the number of features per node."""
+    classes = job.n_classes if job.task == CLASSIFICATION else 0
+    many = name == "random_forest"
+    width = len(train.select(vector_to_array("features").alias("v")).first()["v"]) if many and classes else 0
+    growth = forest.Growth(
+        classes, params.get("n_estimators", 100) if many else 1, many, max(1, int(width**0.5)) if width else 0,
+        params.get("max_depth"), params.get("min_samples_split", 2), job.seed,
+    )
+    rows = train if job.weighted or "_weight" not in train.columns else train.drop("_weight")
+    return TreeModel(forest.fit(rows, growth, new_path(train.sparkSession, "forest")))
+
+
+@dataclass
+class BoostModel:
+    """Boosted trees on histograms."""
+
+    trees: histograms.HistModel
+
+    def transform(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        return self.trees.transform(df, prefix)
+
+    def save(self, path: str) -> None:
+        _write_facts(SparkSession.active(), f"{path}/facts", self.trees.facts())
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, facts: dict) -> "BoostModel":
+        return BoostModel(histograms.HistModel.from_facts(facts))
+
+
+def boost_settings(name: str, job: Job, params: dict) -> histograms.Boost:
+    """gbt_hist: second-order splits with a penalty; gradient_boosting: splits by squared error, Newton leaves."""
+    if job.task != CLASSIFICATION:
+        task, outputs = "number", 1
+    else:
+        task, outputs = ("binary", 1) if job.n_classes <= 2 else ("classes", job.n_classes)
+    names = {"n_estimators": "rounds", "learning_rate": "rate", "max_depth": "depth"}
+    options = {names[k]: v for k, v in params.items()}
+    made = histograms.hist_settings if name == "gbt_hist" else histograms.gradient_settings
+    return made(task, outputs, **options)
+
+
+def _fit_boosted(name: str, train: DataFrame, job: Job, params: dict) -> BoostModel:
+    """Class weights are not used, as boosters take none."""
+    return BoostModel(histograms.fit(train.drop("_weight"), boost_settings(name, job, params)))
+
+
 # -- linear SVM with Platt scaling ---------------------------------------------------------------
 
 
 @dataclass
 class CalibratedSvc:
-    """Margins turned into probabilities by one sigmoid per class."""
+    """Margins turned into probabilities by one sigmoid per class; `coefficients` hold the constant last."""
 
-    model: object
+    coefficients: list[list[float]]
     sigmoids: list[tuple[float, float]]
     n_classes: int
 
     def transform(self, df: DataFrame, prefix: str = "") -> DataFrame:
-        probability = calibrated(margins(F.col("rawPrediction"), self.n_classes), self.sigmoids)
-        out = self.model.transform(df).select(*df.columns, probability.alias(f"{prefix}probability"))
+        probability = calibrated(svm.decision(F.col("features"), self.coefficients), self.sigmoids)
+        out = df.withColumn(f"{prefix}probability", probability)
         return out.withColumn(f"{prefix}prediction", argmax(F.col(f"{prefix}probability")))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        facts = {"kind": "svc", "n_classes": self.n_classes, "sigmoids": self.sigmoids}
+        facts = {"kind": "svc", "n_classes": self.n_classes, "sigmoids": self.sigmoids, "coefficients": self.coefficients}
         _write_facts(SparkSession.active(), f"{path}/facts", facts)
 
     @staticmethod
     def load(spark: SparkSession, path: str, facts: dict) -> "CalibratedSvc":
-        model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
-        return CalibratedSvc(model, [tuple(s) for s in facts["sigmoids"]], facts["n_classes"])
-
-
-def margins(raw: Column, n_classes: int) -> list[Column]:
-    values = vector_to_array(raw)
-    return [values[1]] if n_classes == 2 else [values[c] for c in range(n_classes)]
+        return CalibratedSvc(facts["coefficients"], [tuple(s) for s in facts["sigmoids"]], facts["n_classes"])
 
 
 def calibrated(scores: list[Column], sigmoids: list[tuple[float, float]]) -> Column:
@@ -262,11 +285,10 @@ def calibrated(scores: list[Column], sigmoids: list[tuple[float, float]]) -> Col
     return _normalised(F.array(*each))
 
 
-def platt(out_of_fold: DataFrame, n_classes: int) -> list[tuple[float, float]]:
-    """Slope and intercept per class from (_label, rawPrediction) of rows the model never saw."""
+def platt(scores: list[Column], out_of_fold: DataFrame, positives: list[int]) -> list[tuple[float, float]]:
+    """Slope and intercept per margin, fitted on rows whose margins come from models that never saw them."""
     sigmoids = []
-    for c, score in enumerate(margins(F.col("rawPrediction"), n_classes)):
-        positive = 1 if n_classes == 2 else c
+    for score, positive in zip(scores, positives):
         rows = out_of_fold.select(
             array_to_vector(F.array(score)).alias("features"), (F.col("_label") == positive).cast("double").alias("_label")
         )
@@ -276,28 +298,18 @@ def platt(out_of_fold: DataFrame, n_classes: int) -> list[tuple[float, float]]:
 
 
 def _fit_svc(train: DataFrame, job: Job, params: dict) -> CalibratedSvc:
-    weight = {"weightCol": "_weight"} if job.weighted else {}
-    common = {"featuresCol": "features", "labelCol": "_label"}
-
-    def estimator(rows: int):
-        svc = mlc.LinearSVC(
-            maxIter=100, tol=1e-3, regParam=1 / (params.get("C", 1) * rows), standardization=False, **common, **weight
-        )
-        return svc if job.n_classes == 2 else mlc.OneVsRest(classifier=svc, parallelism=job.parallelism, **common, **weight)
-
-    n = train.count()
-    folded = with_folds(train, "_row_id", job.calibration_folds, "_label", job.seed, "_calibration").persist()
-
-
-    def unseen(f: int) -> DataFrame:
-        model = estimator(n).fit(folded.where(F.col("_calibration") != f))
-        return model.transform(folded.where(F.col("_calibration") == f)).select("_label", "rawPrediction")
-
+    """The classes' problems over all rows and without each fold are solved in shared passes."""
+    c, folds = float(params.get("C", 1)), job.calibration_folds
+    rows = train if job.weighted or "_weight" not in train.columns else train.drop("_weight")
+    positives = [1] if job.n_classes == 2 else list(range(job.n_classes))
+    folded = with_folds(rows, "_row_id", folds, "_label", job.seed, "_calibration").persist()
     try:
-        with ThreadPool(job.parallelism) as pool:
-            parts = pool.map(unseen, range(job.calibration_folds))
-        sigmoids = platt(reduce(DataFrame.unionByName, parts), job.n_classes)
-        return CalibratedSvc(estimator(n).fit(folded), sigmoids, job.n_classes)
+        problems = [svm.Problem(p, f) for f in (-1, *range(folds)) for p in positives]
+        w = svm.solve(folded, problems, c, F.col("_calibration")).T.tolist()
+        k = len(positives)
+        margins = [svm.decision(F.col("features"), w[(f + 1) * k : (f + 2) * k]) for f in range(folds)]
+        unseen = [F.element_at(F.array(*[margins[f][i] for f in range(folds)]), F.col("_calibration").cast("int") + 1) for i in range(k)]
+        return CalibratedSvc(w[:k], platt(unseen, folded, positives), job.n_classes)
     finally:
         folded.unpersist()
 
@@ -498,6 +510,6 @@ def load_model(spark: SparkSession, path: str):
     facts = _read_facts(spark, f"{path}/facts")
     kinds = {
         "ml": MlModel, "svc": CalibratedSvc, "knn": KnnModel,
-        "boosted": BoostedTrees, "voting": Voting, "stacking": Stacking,
+        "boosted": BoostedTrees, "voting": Voting, "stacking": Stacking, "trees": TreeModel, "hist": BoostModel,
     }
     return kinds[facts["kind"]].load(spark, path, facts)

@@ -237,7 +237,7 @@ class Preparer:
     approx: bool = False
     balance: bool = True
     trees: int = 100
-    tree_depth: int = 10
+    tree_depth: int | None = None
 
     def fit(self, df: DataFrame) -> Prepared:
         validate_input(df, self.target, self.test_size)
@@ -347,7 +347,7 @@ class Preparer:
         # the oversampled rows cost joins; write them once before the learners iterate
         if state.balanced:
             fit_rows = staged(fit_rows, "balanced")
-        table = forest_importances(fit_rows, columns, regression, self.trees, self.tree_depth, self.seed)
+        table = forest_importances(fit_rows, columns, state.classes, self.trees, self.tree_depth, self.seed)
         state.importances = {r["feature"]: r["importance"] for r in table.collect()}
         state.features = elbow_features(table, self.top_n)
         places = [columns.index(c) for c in state.features]
