@@ -68,6 +68,10 @@ def running_start(df: DataFrame, group: str, bucket: str, order: list[str], valu
     )
 
 
+#: Later steps read the written table alone, so the shuffle files that led to it go as soon as it stands.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables of one operator run in the shared folder; each is dropped once it is no longer needed."""
 
@@ -77,7 +81,15 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
         path = new_path(self.spark, name)
-        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+        before = self.spark.conf.get(FILE_CLEANUP, None)
+        self.spark.conf.set(FILE_CLEANUP, "true")
+        try:
+            df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(FILE_CLEANUP)
+            else:
+                self.spark.conf.set(FILE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -1,219 +1,376 @@
-"""Quality and toxicity classifiers by co-training a text view and a page-metadata view."""
+"""Quality and toxicity classifiers by co-training a text view and a page-metadata view.
+
+Each view is a sparse logistic regression over hashed features: for the text its words, for the metadata source,
+language, lengths and layout. The labelled sample is bounded and fitted by one task per head; every unlabelled
+document is scored in every round, where it is read, and the surest become pseudo-labels of the
+other view. The driver holds weights, counts per bin of the margins and the keys picked.
+"""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import UPPER, Scratch, ascii_lower, read, text_of, words_of
+from .common import Scratch, read, text_of
 
-#: Bounds of what models are fitted on: labelled documents, and unlabelled ones that get pseudo-labels.
-MAX_LABELLED = 10_000
-POOL = 10_000
+#: Labelled documents that models are fitted on; all others of a larger table only get scores.
+MAX_LABELLED = 20_000
 ROUNDS = 2
-#: Pseudo-labels a view hands over per round, as a share of the labelled fitting rows, and the least confidence.
+#: Pseudo-labels a view hands over per round and head, as a share of the labelled fitting rows, and the least confidence.
 HANDED = 0.1
 CONFIDENT = 0.95
+SURE = math.log(CONFIDENT / (1 - CONFIDENT))
 CALIBRATION = 5  # one labelled row in so many calibrates and is never fitted on
-#: The text view's words: the most frequent of the sample, each in LEAST_DOCS of its documents at least.
-TEXT_WORDS = 1 << 14
-LEAST_DOCS = 5
-ALWAYS = "\x00"
-#: Tasks of a fitting step; the sample is bounded, so are its passes.
-FIT_TASKS = 4
-META_FEATURES = 1 << 12
 VIEWS = ("text", "meta")
-PENALTY = {"text": 3e-3, "meta": 1e-3}
 HEADS = ("quality", "toxic")
+#: Places of hashed features, and the penalty on the sum of absolute weights, per view.
+PLACES = {"text": 1 << 20, "meta": 1 << 16}
+PENALTY = {"text": 3e-3, "meta": 1e-3}
+STEPS = 300
+#: Margins are counted in bins of this width when the surest are looked for.
+BINS_PER_UNIT = 64
+KNOWN_WORDS = 500_000
 
+_MARKS = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
+_BARE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
+_UPPER = bytes(range(65, 91))
+_DIGITS = b"0123456789"
+_ODD = b"#*$%&|<>!?{}[]_=+~^"
+_STOPS = b".,;:"
 
-def metadata_tokens(text: Column) -> Column:
-    """The page's metadata as words: source, language, and steps of its length and layout."""
-    length = F.greatest(F.length(text), F.lit(1))
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    share = lambda n: F.floor(20 * n / length).cast("string")
-    step = lambda n: F.floor(2 * F.log2(1 + n)).cast("string")
-    lines = 1 + count("\n")
-    words = F.greatest(F.size("_words"), F.lit(1))
-    named = {
-        "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "chars": step(F.coalesce(F.col("n_chars").cast("long"), F.length(text).cast("long"))),
-        "lines": step(lines),
-        "line_length": step(length / lines),
-        "word_length": F.floor(length / words).cast("string"),
-        "capitals": share(count(UPPER)),
-        "digits": share(count("0123456789")),
-        "marks": share(count("#*$%&|<>!?{}[]_=+~^")),
-        "stops": share(count(".,;:")),
-        "variety": F.floor(20 * F.size(F.array_distinct("_words")) / words).cast("string"),
-    }
-    return F.array(*[F.concat(F.lit(f"{name}="), value) for name, value in named.items()])
-
-
-def with_tokens(docs: DataFrame, kept: list[str]) -> DataFrame:
-    """The words of both views beside the columns `kept`: for the text the words between gaps, with and without marks."""
-    text = text_of(F.col("text"))
-    low = ascii_lower(text)
-    bare = F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    df = docs.withColumn("_words", words_of(low))
-    return df.select(*kept, F.concat("_words", bare, F.array(F.lit(ALWAYS))).alias("_text"), metadata_tokens(text).alias("_meta"))
 
+class Features:
+    """Texts and their metadata to the places of their hashed features, each once."""
 
-def with_views(df: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
-    """Vectors of both views in place of their words; MLlib transformers on the JVM only."""
-    df = vocabulary.transform(df)
-    df = HashingTF(inputCol="_meta", outputCol="meta", numFeatures=META_FEATURES, binary=True).transform(df)
-    return df.drop("_text", "_meta")
+    def __init__(self):
+        import xxhash
 
+        places = PLACES["text"]
 
-def labels_of(labels: DataFrame) -> DataFrame:
-    """One row per id: quality 1 only if all its labels say so, toxic 1 if any does."""
-    return (
-        labels.where("doc_id is not null")
-        .groupBy("doc_id")
-        .agg(F.min((F.col("quality") == 1).cast("int")).alias("quality"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    )
+        class Words(dict):
+            def __missing__(self, word: bytes) -> int:
+                if len(self) >= KNOWN_WORDS:
+                    self.clear()
+                self[word] = value = xxhash.xxh3_64_intdigest(word) % places
+                return value
 
+        self.words, self.hash = Words(), xxhash.xxh3_64_intdigest
 
-@dataclass
-class Head:
-    """One target: a model per view and the calibrated combination; or a constant where labels hold one class."""
+    def __call__(self, text: str, source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
+        raw = text.encode("utf-8", "surrogatepass")
+        low = raw.lower()
+        words = low.split()
+        known = set(words)
+        variety = len(known)
+        known.update(low.translate(_BARE).split())
+        found = np.unique(np.fromiter(map(self.words.__getitem__, known), dtype=np.int32, count=len(known)))
+        return found, self.metadata(text, raw, len(words), variety, source, lang, n_chars)
 
-    constant: float | None
-    models: dict[str, LogisticRegressionModel]
-    combiner: LogisticRegressionModel | None
+    def metadata(self, text: str, raw: bytes, n_words: int, variety: int, source, lang, n_chars) -> np.ndarray:
+        """Source, language, and steps of length and layout, as hashed words."""
+        size = max(1, len(text))
+        count = lambda chars: len(raw) - len(raw.translate(None, chars))
+        step = lambda n: math.floor(2 * math.log2(1 + max(n, 0)))
+        lines = 1 + raw.count(b"\n")
+        named = {
+            "source": source or "", "lang": lang or "", "chars": step(len(text) if n_chars is None else n_chars),
+            "lines": step(lines), "line_length": step(size / lines), "word_length": size // max(1, n_words),
+            "capitals": 20 * count(_UPPER) // size, "digits": 20 * count(_DIGITS) // size, "marks": 20 * count(_ODD) // size,
+            "stops": 20 * count(_STOPS) // size, "variety": 20 * variety // max(1, n_words),
+        }
+        return np.unique([self.hash(f"{k}={v}".encode("utf-8", "surrogatepass")) % PLACES["meta"] for k, v in named.items()]).astype(np.int32)
 
 
-def margin(df: DataFrame, model: LogisticRegressionModel, view: str, out: str) -> DataFrame:
-    scored = model.setFeaturesCol(view).setRawPredictionCol("_raw").setProbabilityCol("").setPredictionCol("").transform(df)
-    return scored.withColumn(out, vector_to_array("_raw")[1]).drop("_raw")
+READ = ["key", "text", "source", "lang", "n_chars"]
+FEATURES = "key long, words binary, facts binary"
 
 
-def fit_view(rows: DataFrame, view: str) -> LogisticRegressionModel:
-    """Rows have label; both classes weigh the same in total."""
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    total = sum(counts.values())
-    weight = F.when(F.col("label") == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0]))
-    # few words tell in the text view, so it is fitted sparsely
-    learner = LogisticRegression(
-        featuresCol=view, labelCol="label", weightCol="_weight", regParam=PENALTY[view], elasticNetParam=float(view == "text"), maxIter=25, standardization=False
-    )
-    return learner.fit(rows.withColumn("_weight", weight))
+def featured(rows: DataFrame) -> DataFrame:
+    """(key, words, facts): the places of both views' features."""
+    schema = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("facts", pa.binary())])
 
+    def run(batches):
+        features = Features()
+        for batch in batches:
+            made = [features(*(v.as_py() for v in r)) for r in zip(*(batch.column(c) for c in READ[1:]))]
+            columns = [batch.column("key"), *[pa.array([m[i].tobytes() for m in made], pa.binary()) for i in (0, 1)]]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-def co_train(rows: DataFrame, head: str, scratch: Scratch) -> Head:
-    """Fit one head on `rows`: key, text, meta, the label of the head (null in the pool), calibrates.
+    return rows.select(*READ).mapInArrow(run, FEATURES)
 
-    Each round fits and calibrates both views, lets each name the pool documents it is surest of
-    (a calibrated CONFIDENT at least; at most HANDED of the labelled rows, in the classes' own
-    proportion) and hands those to the other view as labelled. A view that cannot tell the
-    classes apart is never that sure and hands over nothing. At the end each view's margin on rows kept aside is calibrated and
-    the two are combined by one logistic regression.
-    """
-    labelled = rows.where(F.col(head).isNotNull()).withColumn("label", F.col(head))
-    fitting = labelled.where("not calibrates")
-    counts = {r["label"]: r["count"] for r in fitting.groupBy("label").count().collect()}
-    aside = {r["label"] for r in labelled.where("calibrates").select("label").distinct().collect()}
-    if set(counts) != {0, 1} or aside != {0, 1}:
-        known = sum(counts.values())
-        return Head(counts.get(1, 0) / known if known else 0.5, {}, None)
-    pool = rows.where(F.col(head).isNull() & ~F.col("in_labels"))
-    given: dict[str, DataFrame | None] = {v: None for v in VIEWS}
-    share = counts[1] / sum(counts.values())
-    quota = {c: int(HANDED * sum(counts.values()) * p) for c, p in ((1, share), (0, 1 - share))}
-    for turn in range(ROUNDS + 1):
-        sets = {v: fitting if given[v] is None else fitting.unionByName(given[v], allowMissingColumns=True) for v in VIEWS}
-        models = {v: fit_view(sets[v].select("label", v), v) for v in VIEWS}
-        if turn == ROUNDS:
-            break
-        for view, other in (VIEWS, VIEWS[::-1]):
-            fitted = fit_combiner(labelled.where("calibrates"), {view: models[view]})
-            scored = margin(pool, models[view], view, f"_m_{view}").withColumn("_p", combined(fitted, (view,), "_m"))
-            sure = scored.withColumn("label", (F.col("_p") > 0.5).cast("int"))
-            sure = sure.where((F.col("_p") >= CONFIDENT) | (F.col("_p") <= 1 - CONFIDENT)).drop(f"_m_{view}")
-            order = Window.partitionBy("label").orderBy(F.abs(F.col("_p") - 0.5).desc(), "key")  # the pool has at most POOL rows
-            picked = sure.withColumn("_r", F.row_number().over(order)).where(
-                F.col("_r") <= F.when(F.col("label") == 1, quota[1]).otherwise(quota[0])
-            )
-            new = scratch.keep(picked.drop("_p", "_r"), "pseudo-labels")
-            given[other] = new if given[other] is None else given[other].unionByName(new)
-            pool = pool.join(F.broadcast(new.select("key")), "key", "left_anti")
-    return Head(None, models, fit_combiner(labelled.where("calibrates"), models))
 
+# --- fitting a bounded sample ---------------------------------------------------------------
 
-def both_margins(df: DataFrame, models: dict[str, LogisticRegressionModel], prefix: str) -> DataFrame:
-    for view in models:
-        df = margin(df, models[view], view, f"{prefix}_{view}")
-    return df
 
+@dataclass
+class Rows:
+    """Rows of hashed features, one after the other."""
+
+    places: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def of(parts: list[bytes]) -> "Rows":
+        arrays = [np.frombuffer(p, np.int32) for p in parts]
+        return Rows(np.concatenate([np.zeros(0, np.int32), *arrays]), np.cumsum([0, *map(len, arrays)]))
+
+    def margins(self, weights: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0.0], np.cumsum(weights[self.places])])
+        return upto[self.starts[1:]] - upto[self.starts[:-1]]
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def fit_view(rows: Rows, label: np.ndarray, penalty: float, size: int) -> tuple[np.ndarray, float]:
+    """Weights of few places and a free constant: logistic loss in which both classes weigh the same, by accelerated proximal steps."""
+    used, at = np.unique(rows.places, return_inverse=True)  # only places that occur can get a weight
+    small = Rows(at, rows.starts)
+    owner = np.repeat(np.arange(len(label)), np.diff(rows.starts))
+    share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    v = np.ones(len(used) + 1)
+    curve = 1.0
+    for _ in range(12):  # the largest curvature, by powers
+        z = small.margins(v[:-1]) + v[-1]
+        push = share * z / 4
+        v = np.r_[np.bincount(at, weights=push[owner], minlength=len(used)), push.sum()]
+        curve = float(np.linalg.norm(v)) or 1.0
+        v /= curve
+    rate = 1 / (1.1 * curve)
+    w = ahead = np.zeros(len(used) + 1)
+    momentum = 1.0
+    for _ in range(STEPS):
+        error = share * (sigmoid(small.margins(ahead[:-1]) + ahead[-1]) - label)
+        slope = np.r_[np.bincount(at, weights=error[owner], minlength=len(used)), error.sum()]
+        new = ahead - rate * slope
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * penalty, 0)
+        if ((ahead - new) @ (new - w)) > 0:  # start over when a step turns back
+            momentum, ahead = 1.0, w
+            w = new
+            continue
+        later = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+        ahead, w, momentum = new + (momentum - 1) / later * (new - w), new, later
+    out = np.zeros(size, dtype=np.float32)
+    out[used] = w[:-1]
+    return out, float(w[-1])
+
+
+def calibrate(margins: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Logistic regression on a few margins, lightly penalised, by Newton's method; the constant comes last."""
+    x = np.c_[margins, np.ones(len(label))]
+    w = np.zeros(x.shape[1])
+    hold = np.r_[np.full(x.shape[1] - 1, 1e-3 * len(label)), 1e-9]
+    for _ in range(100):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(hold), x.T @ (p - label) + hold * w)
+        w = w - np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
 
-def fit_combiner(rows: DataFrame, models: dict[str, LogisticRegressionModel]) -> LogisticRegressionModel:
-    """Calibrate the margins of one view, or of both together."""
-    names = [f"_m_{view}" for view in models]
-    vectors = VectorAssembler(inputCols=names, outputCol="margins").transform(both_margins(rows, models, "_m").select("label", *names))
-    return LogisticRegression(featuresCol="margins", labelCol="label", regParam=1e-3, maxIter=50).fit(vectors)
 
+@dataclass
+class Head:
+    """One target: weights and constant per view, a calibration per view and of both; or a constant where labels hold one class."""
 
-def combined(model: LogisticRegressionModel, views: tuple[str, ...], prefix: str) -> Column:
-    z = F.lit(float(model.intercept))
-    for weight, view in zip(model.coefficients, views):
-        z = z + float(weight) * F.col(f"{prefix}_{view}")
-    return 1 / (1 + F.exp(-z))
+    constant: float | None
+    weights: dict[str, np.ndarray]
+    constants: dict[str, float]
+    sigmoids: dict[str, list[float]]
+    quota: dict[int, int]
+
+
+FITTED = pa.schema([("head", pa.string()), ("constant", pa.float64()), ("ones", pa.int64()), ("zeros", pa.int64())]
+                   + [(f"{v}_weights", pa.binary()) for v in VIEWS] + [("numbers", pa.list_(pa.float64()))])
+FITTED_DDL = "head string, constant double, ones long, zeros long, text_weights binary, meta_weights binary, numbers array<double>"
+
+
+def fit_head(group: pa.Table) -> pa.Table:
+    """Fit and calibrate both views on the bounded rows of one head; `view` is null for labelled rows."""
+    name = group.column("head")[0].as_py()
+    keys = group.column("key").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    label = group.column("label").to_numpy()[order].astype(float)
+    aside = np.array(group.column("calibrates").to_pylist())[order]
+    view = np.array([v or "" for v in group.column("view").to_pylist()])[order]
+    parts = {v: np.array(group.column(c).to_pylist(), dtype=object)[order] for v, c in zip(VIEWS, ("words", "facts"))}
+    fits = (view == "") & ~aside
+    ones, zeros = int((label[fits] == 1).sum()), int((label[fits] == 0).sum())
+    checks = set(label[aside].tolist())
+    if not ones or not zeros or checks != {0.0, 1.0}:
+        row = (name, ones / (ones + zeros) if ones + zeros else 0.5, ones, zeros, None, None, [])
+    else:
+        weights, numbers, margins = {}, [], []
+        for v in VIEWS:
+            mine = fits | (view == v)
+            weights[v], constant = fit_view(Rows.of(list(parts[v][mine])), label[mine], PENALTY[v], PLACES[v])
+            margins.append(Rows.of(list(parts[v][aside])).margins(weights[v].astype(float)) + constant)
+            numbers.append(constant)
+        for columns in ([margins[0]], [margins[1]], margins):
+            numbers += calibrate(np.stack(columns, 1), label[aside]).tolist()
+        row = (name, None, ones, zeros, weights["text"].tobytes(), weights["meta"].tobytes(), numbers)
+    return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, FITTED)], schema=FITTED)
+
+
+def fit_heads(rows: DataFrame) -> dict[str, Head]:
+    """One task per head; rows: head, key, view, label, calibrates, words, facts, bounded by MAX_LABELLED and the quotas."""
+    out = {h: Head(0.5, {}, {}, {}, {}) for h in HEADS}
+    for r in rows.groupBy("head").applyInArrow(fit_head, FITTED_DDL).collect():
+        quota = {1: int(HANDED * r["ones"]), 0: int(HANDED * r["zeros"])}
+        if r["constant"] is not None:
+            out[r["head"]] = Head(r["constant"], {}, {}, {}, quota)
+            continue
+        n = r["numbers"]
+        weights = {v: np.frombuffer(r[f"{v}_weights"], np.float32) for v in VIEWS}
+        sigmoids = {"text": n[2:4], "meta": n[4:6], "both": n[6:9]}
+        out[r["head"]] = Head(None, weights, dict(zip(VIEWS, n[:2])), sigmoids, quota)
+    return out
+
+
+# --- scoring --------------------------------------------------------------------------------
+
+MARGINS = [f"{h}_{v}" for h in HEADS for v in VIEWS]
+
+
+def margins_of(rows: DataFrame, heads: dict[str, Head], kept: list[str]) -> DataFrame:
+    """The columns `kept` and the margin of every head and view (0 for a constant head), per row, where it is read."""
+    schema = rows.select(*kept).schema
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", " + ", ".join(f"{m} double" for m in MARGINS)
+    shared = rows.sparkSession.sparkContext.broadcast({h: (m.weights, m.constants) for h, m in heads.items() if m.weights})  # 9 MB at most
+
+    def run(batches):
+        features, models = Features(), shared.value
+        for batch in batches:
+            out = np.zeros((batch.num_rows, len(MARGINS)))
+            for i, r in enumerate(zip(*(batch.column(c) for c in READ[1:]))):
+                found = dict(zip(VIEWS, features(*(v.as_py() for v in r))))
+                for k, (h, v) in enumerate((h, v) for h in HEADS for v in VIEWS):
+                    if h in models:
+                        out[i, k] = models[h][0][v][found[v]].sum(dtype=float) + models[h][1][v]
+            columns = [batch.column(c) for c in kept] + [pa.array(np.ascontiguousarray(c)) for c in out.T]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *MARGINS])
+
+    return rows.select(*dict.fromkeys([*kept, *READ])).mapInArrow(run, ddl)
+
+
+def picked(scores: DataFrame, heads: dict[str, Head], used: dict[str, set[int]]) -> list[tuple[int, str, str, int]]:
+    """(key, head, receiving view, label): of every head, view and class the surest rows up to the quota.
+
+    The rows are counted per bin of the margin first; only those in bins that can hold the surest are ordered. A view
+    names rows with a calibrated confidence of CONFIDENT at least, and no row that its head has used before.
+    """
+    tests, bins = [], []
+    for h, head in heads.items():
+        for v in VIEWS if head.weights else ():
+            slope, constant = head.sigmoids[v]
+            for label, sign in ((1, 1.0), (0, -1.0)):
+                z = sign * (F.col(f"{h}_{v}") * slope + constant)
+                if head.quota[label] and slope > 0:
+                    tests.append((h, v, label, z))
+                    step = F.when(z >= SURE, F.least(F.floor(z * BINS_PER_UNIT), F.lit(1 << 16)))
+                    bins.append(F.struct(F.lit(len(tests) - 1).alias("test"), step.alias("bin")))
+    if not tests:
+        return []
+    counts = scores.select(F.inline(F.array(*bins))).where("bin IS NOT NULL").groupBy("test", "bin").count().collect()  # at most 2^16 bins each
+    out = []
+    for i, (h, v, label, z) in enumerate(tests):
+        quota, left, cut = heads[h].quota[label], heads[h].quota[label] + len(used[h]), None
+        for r in sorted((r for r in counts if r["test"] == i), key=lambda r: -r["bin"]):
+            cut, left = r["bin"], left - r["count"]
+            if left <= 0:
+                break
+        if cut is None:
+            continue
+        # rows used before are fewer than the quotas of all rounds
+        best = scores.select("key", z.alias("z")).where((F.floor(F.col("z") * BINS_PER_UNIT) >= cut) & (F.col("z") >= SURE)).orderBy(F.desc("z"), "key").limit(quota + len(used[h]))
+        new = [r["key"] for r in best.collect() if r["key"] not in used[h]][:quota]
+        used[h].update(new)
+        out += [(key, h, VIEWS[1 - VIEWS.index(v)], label) for key in new]
+    return out
+
+
+# --- the whole ------------------------------------------------------------------------------
 
 
-def probability(head: Head, name: str) -> Column:
-    return F.lit(float(head.constant)) if head.combiner is None else combined(head.combiner, VIEWS, f"_{name}")
+def labels_of(labels: DataFrame) -> DataFrame:
+    """One row per id: quality 1 only if all its labels say so, toxic 1 if any does."""
+    return (
+        labels.where("doc_id is not null")
+        .groupBy("doc_id")
+        .agg(F.min((F.col("quality") == 1).cast("int")).alias("quality"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    )
 
 
-def sample_keys(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most MAX_LABELLED labelled and POOL unlabelled ids in hash order, with their labels."""
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().join(labels_of(labels).withColumn("in_labels", F.lit(True)), "doc_id", "left")
-    ids = ids.withColumn("in_labels", F.coalesce("in_labels", F.lit(False))).withColumn("_h", F.xxhash64(F.lit(2), "doc_id"))
-    some = lambda labelled, n: ids.where(F.col("in_labels") == labelled).orderBy("_h", "doc_id").limit(n)
-    chosen = some(True, MAX_LABELLED).unionByName(some(False, POOL))
-    return chosen.withColumn("calibrates", F.col("in_labels") & (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(CALIBRATION)) == 0)).drop("_h")
+def co_train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> tuple[dict[str, Head], list]:
+    """The fitted heads and the pseudo-labels handed over, as (round, key, head, receiving view, label); docs: key, same, doc_id, READ.
+
+    A round fits and calibrates both views of each head, scores all unlabelled documents, of copies the least key, and lets each view hand
+    the ones it is surest of to the other view. A last fit uses all pseudo-labels.
+    """
+    spark = docs.sparkSession
+    known = labels_of(labels)
+    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(max_labelled)
+    chosen = scratch.keep(chosen.withColumn("calibrates", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(CALIBRATION)) == 0), "labelled-ids")
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("same", *HEADS).agg(F.min(F.struct("key", "calibrates")).alias("row"))  # copies would weigh their words up
+    sample = scratch.keep(sample.select("row.*", *HEADS).dropDuplicates(["key"]), "labelled-keys")
+    features = featured(docs.join(F.broadcast(sample.select("key")), "key", "left_semi")).dropDuplicates(["key"])
+    one = F.inline(F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("label")) for h in HEADS]))
+    base = features.join(F.broadcast(sample), "key").select("key", "calibrates", "words", "facts", one).where("label IS NOT NULL")
+    base = scratch.keep(base.withColumn("view", F.lit(None).cast("string")), "labelled-rows")
+    rows, handed, used = base, [], {h: set() for h in HEADS}
+    heads = fit_heads(rows)
+    for turn in range(rounds):
+        if all(not h.weights for h in heads.values()):
+            break
+        scores = margins_of(docs, heads, ["key", "same", "doc_id"]).join(known.select("doc_id"), "doc_id", "left_anti")
+        scores = scratch.keep(scores.groupBy("same").agg(F.min(F.struct("key", *MARGINS)).alias("row")).select("same", "row.*"), "pool-margins")
+        new = picked(scores, heads, used)
+        scratch.drop(scores)
+        if not new:
+            break
+        handed += [(turn, *x) for x in new]
+        names = F.broadcast(spark.createDataFrame(new, "key long, head string, view string, label int"))  # within the quotas
+        found = featured(docs.join(F.broadcast(spark.createDataFrame([(k,) for k in {x[0] for x in new}], "key long")), "key", "left_semi"))
+        fresh = found.dropDuplicates(["key"]).join(names, "key").withColumn("calibrates", F.lit(False))
+        rows = rows.unionByName(scratch.keep(fresh, "pseudo-labels"))
+        heads = fit_heads(rows)
+    return heads, handed
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Score every document: doc_id, p_quality, p_toxic, the views' margins, kept (p_quality >= 0.5 > p_toxic).
 
-    Models are fitted on a bounded sample (MAX_LABELLED, POOL); all whole texts are scored, in
-    one map-only pass. Null and empty texts have no words and are judged by their metadata; a
-    null source, language or length is a value like any other; rows of one id share its label.
-    Without labels of both classes a head scores the share of its positives, or 0.5
+    Models are fitted on at most `max_labelled` labelled documents, in hash order of their ids, and on pseudo-labels
+    from all unlabelled documents; all whole texts are scored. Null and empty texts have no words and are judged by
+    their metadata; a null source, language or length is a value like any other; rows of one id share
+    its label, and rows without an id have none. Without labels of both classes a head scores the share of its positives, or 0.5
     without labels. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "source", "lang", "n_chars")
-    chosen = scratch.keep(sample_keys(docs, labels), "sample-ids")
-    sampled = docs.join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
-    sampled = sampled.withColumn("_same", F.xxhash64("text", "in_labels", *HEADS))  # copies would weigh their words up
-    kept = ["key", *HEADS, "in_labels", "calibrates"]
-    tokens = scratch.keep(with_tokens(sampled.dropDuplicates(["_same"]).drop("_same"), kept), "sample-words")
-    least = min(LEAST_DOCS, max(1, tokens.count()))
-    if tokens.isEmpty():
-        tokens = docs.sparkSession.createDataFrame([([ALWAYS], [])], "_text array<string>, _meta array<string>")
-    vectorizer = CountVectorizer(inputCol="_text", outputCol="text", vocabSize=TEXT_WORDS, minDF=least, binary=True)
-    vocabulary = vectorizer.fit(tokens)
-    heads = {name: Head(0.5, {}, None) for name in HEADS}
-    if "key" in tokens.columns:
-        rows = scratch.keep(with_views(tokens, vocabulary).coalesce(FIT_TASKS), "sample-views")  # bounded rows
-        with ThreadPool(len(HEADS)) as pool:
-            heads = dict(zip(HEADS, pool.map(lambda name: co_train(rows, name, scratch), HEADS)))
-    scored = with_views(with_tokens(docs, ["doc_id"]), vocabulary)
-    for name, head in heads.items():
-        scored = both_margins(scored, head.models, f"_{name}") if head.models else scored.withColumns(
-            {f"_{name}_{v}": F.lit(0.0) for v in VIEWS}
-        )
-    columns = [F.col(f"_{n}_{v}").alias(f"{n}_{v}_margin") for n in HEADS for v in VIEWS]
-    judged = scored.select("doc_id", *[probability(heads[n], n).alias(f"p_{n}") for n in HEADS], *columns)
+    scratch = Scratch(docs.sparkSession)
+    text = text_of(F.col("text"))
+    named = {c: F.col(c).cast("string").alias(c) for c in ("source", "lang")}
+    rows = docs.select(
+        F.xxhash64("doc_id", text).alias("key"), F.xxhash64(text).alias("same"), "doc_id", text.alias("text"), *named.values(),
+        F.col("n_chars").cast("long").alias("n_chars"),
+    )
+    heads, _ = co_train(rows, labels, scratch, max_labelled)
+    scored = margins_of(rows, heads, ["doc_id"])
+
+    def probability(name: str):
+        head = heads[name]
+        if head.constant is not None:
+            return F.lit(float(head.constant))
+        a, b, c = head.sigmoids["both"]
+        return 1 / (1 + F.exp(-(a * F.col(f"{name}_text") + b * F.col(f"{name}_meta") + c)))
+
+    judged = scored.select(
+        "doc_id", *[probability(n).alias(f"p_{n}") for n in HEADS], *[F.col(m).alias(f"{m}_margin") for m in MARGINS]
+    )
     return judged.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
 
 

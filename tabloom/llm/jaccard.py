@@ -284,13 +284,18 @@ def tree_links(members: DataFrame, width: int, percent: int) -> DataFrame:
     return tasks.mapInArrow(run, "a long, b long")
 
 
+def set_number() -> Column:
+    """48 bits of a set's name."""
+    return F.shiftrightunsigned(F.xxhash64("set_id"), 16)
+
+
 def set_blocks(keyed: DataFrame) -> DataFrame:
     """(node, root) of the sets that share a part key, directly or through others.
 
-    A set is named by 64 bits of its name here; sets that share those share a block, no more. Keys
+    A set is named by 48 bits of its name here; sets that share those share a block, no more. Keys
     are shuffled straight from the rows; each task has given those of a set once.
     """
-    pairs = keyed.where("set_id is not null").select(F.xxhash64("set_id").alias("node"), F.explode("keys").alias("key"))
+    pairs = keyed.where("set_id is not null").select(set_number().alias("node"), F.explode("keys").alias("key"))
     least = F.min("node").over(Window.partitionBy("key"))
     meet = pairs.withColumn("least", least).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     return components(meet, "jaccard-blocks")
@@ -323,7 +328,7 @@ def jaccard_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         .withColumn("node", F.monotonically_increasing_id())
     )
     distinct = scratch.keep(distinct, "shingle-nodes")  # numbers are fixed by being written
-    wanted = distinct.withColumn("set", F.xxhash64("set_id")).join(blocks.withColumnRenamed("node", "set").withColumnRenamed("root", "block"), "set")
+    wanted = distinct.withColumn("set", set_number()).join(blocks.withColumnRenamed("node", "set").withColumnRenamed("root", "block"), "set")
     wanted = scratch.keep(wanted.select("node", "block", "row_key", "set_id", "n_shingles"), "jaccard-wanted")
     once = rows.select("row_key", "text")
     if wanted.count() <= BROADCAST_SETS:  # 60 bytes each
