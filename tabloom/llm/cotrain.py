@@ -127,7 +127,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_view(rows: Rows, label: np.ndarray, penalty: float, size: int) -> tuple[np.ndarray, float]:
+def fit_view(rows: Rows, label: np.ndarray, penalty: float, size: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights of few places and a free constant: logistic loss in which both classes weigh the same, by accelerated proximal steps."""
     used, at = np.unique(rows.places, return_inverse=True)  # only places that occur can get a weight
     small = Rows(at, rows.starts)
@@ -144,7 +144,7 @@ def fit_view(rows: Rows, label: np.ndarray, penalty: float, size: int) -> tuple[
     rate = 1 / (1.1 * curve)
     w = ahead = np.zeros(len(used) + 1)
     momentum = 1.0
-    for _ in range(STEPS):
+    for _ in range(steps):
         error = share * (sigmoid(small.margins(ahead[:-1]) + ahead[-1]) - label)
         slope = np.r_[np.bincount(at, weights=error[owner], minlength=len(used)), error.sum()]
         new = ahead - rate * slope
@@ -190,7 +190,7 @@ FITTED = pa.schema([("head", pa.string()), ("constant", pa.float64()), ("ones",
 FITTED_DDL = "head string, constant double, ones long, zeros long, text_weights binary, meta_weights binary, numbers array<double>"
 
 
-def fit_head(group: pa.Table) -> pa.Table:
+def fit_head(group: pa.Table, steps: int = STEPS) -> pa.Table:
     """Fit and calibrate both views on the bounded rows of one head; `view` is null for labelled rows."""
     name = group.column("head")[0].as_py()
     keys = group.column("key").to_numpy()
@@ -208,7 +208,7 @@ def fit_head(group: pa.Table) -> pa.Table:
         weights, numbers, margins = {}, [], []
         for v in VIEWS:
             mine = fits | (view == v)
-            weights[v], constant = fit_view(Rows.of(list(parts[v][mine])), label[mine], PENALTY[v], PLACES[v])
+            weights[v], constant = fit_view(Rows.of(list(parts[v][mine])), label[mine], PENALTY[v], PLACES[v], steps)
             margins.append(Rows.of(list(parts[v][aside])).margins(weights[v].astype(float)) + constant)
             numbers.append(constant)
         for columns in ([margins[0]], [margins[1]], margins):
@@ -217,10 +217,10 @@ def fit_head(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, FITTED)], schema=FITTED)
 
 
-def fit_heads(rows: DataFrame) -> dict[str, Head]:
+def fit_heads(rows: DataFrame, steps: int) -> dict[str, Head]:
     """One task per head; rows: head, key, view, label, calibrates, words, facts, bounded by MAX_LABELLED and the quotas."""
     out = {h: Head(0.5, {}, {}, {}, {}) for h in HEADS}
-    for r in rows.groupBy("head").applyInArrow(fit_head, FITTED_DDL).collect():
+    for r in rows.groupBy("head").applyInArrow(lambda group: fit_head(group, steps), FITTED_DDL).collect():
         quota = {1: int(HANDED * r["ones"]), 0: int(HANDED * r["zeros"])}
         if r["constant"] is not None:
             out[r["head"]] = Head(r["constant"], {}, {}, {}, quota)
@@ -306,7 +306,7 @@ def labels_of(labels: DataFrame) -> DataFrame:
     )
 
 
-def co_train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> tuple[dict[str, Head], list]:
+def co_train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, steps: int = STEPS) -> tuple[dict[str, Head], list]:
     """The fitted heads and the pseudo-labels handed over, as (round, key, head, receiving view, label); docs: key, same, doc_id, READ.
 
     A round fits and calibrates both views of each head, scores all unlabelled documents, of copies the least key, and lets each view hand
@@ -323,7 +323,7 @@ def co_train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled:
     base = features.join(F.broadcast(sample), "key").select("key", "calibrates", "words", "facts", one).where("label IS NOT NULL")
     base = scratch.keep(base.withColumn("view", F.lit(None).cast("string")), "labelled-rows")
     rows, handed, used = base, [], {h: set() for h in HEADS}
-    heads = fit_heads(rows)
+    heads = fit_heads(rows, steps)
     for turn in range(rounds):
         if all(not h.weights for h in heads.values()):
             break
@@ -338,7 +338,7 @@ def co_train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled:
         found = featured(docs.join(F.broadcast(spark.createDataFrame([(k,) for k in {x[0] for x in new}], "key long")), "key", "left_semi"))
         fresh = found.dropDuplicates(["key"]).join(names, "key").withColumn("calibrates", F.lit(False))
         rows = rows.unionByName(scratch.keep(fresh, "pseudo-labels"))
-        heads = fit_heads(rows)
+        heads = fit_heads(rows, steps)
     return heads, handed
 
 

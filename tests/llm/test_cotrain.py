@@ -63,7 +63,7 @@ def plain_calibration(m, y):
 def test_rounds_equal_a_plain_version(spark):
     rows, labels, docs, label_table = table(spark, 420)
     named = keyed(docs)
-    heads, handed = cotrain.co_train(named, label_table, Scratch(spark), rounds=1)
+    heads, handed = cotrain.co_train(named, label_table, Scratch(spark), rounds=1, steps=6000)
     key = {r["doc_id"]: r["key"] for r in named.collect()}
     aside = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(cotrain.CALIBRATION)) == 0).select("doc_id").collect()}
     features = cotrain.Features()
@@ -93,7 +93,7 @@ def test_rounds_equal_a_plain_version(spark):
                 expected = sure[: int(cotrain.HANDED * (y == label).sum())]
                 used |= set(mine)
                 count += len(mine)
-                assert np.allclose(sorted((z[i] for i in mine), reverse=True), expected, atol=0.2)  # the library takes fewer steps; rows of equal margins may stand for each other
+                assert np.allclose(sorted((z[i] for i in mine), reverse=True), expected, atol=0.02)  # rows of equal margins may stand for each other
     assert count == len(handed) > 20
 
 
