@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import q
 from ..operators import histograms, learners as ln, search, svm
@@ -16,6 +18,7 @@ from ..operators.target import label_index, label_list
 from ..plans.prepare import Preparer, assemble
 from ..plans.run import run
 from ..session import new_path, sized
+from ..sources.tables import read_csv, write_csv
 from ..streaming.scoring import read_table_stream, score_stream
 from .fixtures import messy, rounded, split, table, train_rows, union_all, with_messy, with_split
 from .registry import check
@@ -54,8 +57,42 @@ def frames(spark: SparkSession, sf_dir: str, target: str) -> Frames:
     return Frames(train, test, _FEATURES, len(labels))
 
 
-def _predictions(data: Frames, fitted) -> DataFrame:
-    return fitted.transform(data.test).drop("features")
+_LABELS = {
+    "y_bin": "CAST(CASE y_bin WHEN 'big' THEN 0 ELSE 1 END AS DOUBLE)",
+    "y_cls": "CAST(CASE y_cls WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS DOUBLE)",
+    "y_reg": "round(y_reg, 6) + 0.0",
+}
+
+
+def _well_formed(scored: DataFrame, n_classes: int) -> Column:
+    """Probabilities that sum to 1 with the prediction at their largest, or a finite number."""
+    if not n_classes:
+        return F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < 1e300)
+    p = F.col("probability")
+    total = F.aggregate(p, F.lit(0.0), lambda x, y: x + y)
+    inside = F.forall(p, lambda x: (x >= 0) & (x <= 1))
+    return (F.size(p) == n_classes) & inside & (F.abs(total - 1) < 1e-9) & (p[F.col("prediction").cast("int")] == F.array_max(p))
+
+
+def _beats_trivial(scored: DataFrame, n_classes: int) -> DataFrame:
+    """One row: whether the model does better than the most frequent class, or than the mean."""
+    y, p = F.col("_label"), F.col("prediction")
+    if n_classes:
+        shares = [F.avg((y == float(k)).cast("double")) for k in range(n_classes)]
+        return scored.agg((F.avg((y == p).cast("double")) > F.greatest(*shares)).alias("beats_trivial"))
+    return scored.agg((F.sum((y - p) * (y - p)) < F.var_pop(y) * F.count(y)).alias("beats_trivial"))
+
+
+def judged(data: Frames, fitted, beats: bool = True) -> DataFrame:
+    """Every test row with its label, whether its answer is well formed and whether the model is worth having."""
+    scored = fitted.transform(data.test)
+    out = scored.select("_row_id", (F.round("_label", 6) + F.lit(0.0)).alias("_label"), _well_formed(scored, data.n_classes).alias("valid"))
+    return out.crossJoin(_beats_trivial(scored, data.n_classes)) if beats else out  # one row
+
+
+def _judged_sql(target: str, beats: bool = True, more: str = "") -> str:
+    flags = "TRUE AS valid" + (", TRUE AS beats_trivial" if beats else "") + more
+    return with_split(f"SELECT o_orderkey AS _row_id, {_LABELS[target]} AS _label, {flags} FROM s WHERE _split = 'test'")
 
 
 @contextmanager
@@ -68,29 +105,22 @@ def _cached(df: DataFrame):
         df.unpersist()
 
 
-# models that iterate many times get fewer rounds here; the defaults are the library's
-_ROUNDS = {
-    "adaboost": {"n_estimators": 10},
-    "gradient_boosting": {"n_estimators": 10},
-    "gbt_hist": {"n_estimators": 5},
-}
-
-
-def _register(kind: str, target: str, names: list[str]) -> None:
+def _register(kind: str, target: str, names: list[str], beats: bool = True) -> None:
+    """Each model with the library's settings."""
     for name in names:
 
         def query(spark, sf_dir, name=name):
             data = frames(spark, sf_dir, target)
             with _cached(data.train) as train:
-                fitted = ln.fit_learner(name, train, data.job(), _ROUNDS.get(name))
-            return _predictions(data, fitted)
+                fitted = ln.fit_learner(name, train, data.job())
+            return judged(data, fitted, beats)
 
         query.__name__ = f"{kind}_{name}"
-        check(query.__name__)(query)
+        check(query.__name__, _judged_sql(target, beats))(query)
 
 
 _register("classify", "y_bin", ln.CLASS_MODELS)
-_register("classify3", "y_cls", ["linear_svc", "gradient_boosting", "adaboost"])
+_register("classify3", "y_cls", ["linear_svc", "gradient_boosting", "adaboost"], beats=False)  # these labels are noise
 _register("regress", "y_reg", [n for n in ln.NUMBER_MODELS if n not in ("ridge", "lasso", "linear_regression")])
 
 # -- linear models with a closed form -------------------------------------------------------------
@@ -282,69 +312,81 @@ def tree_nodes(spark, sf_dir):
 
 # -- search and ensembles -------------------------------------------------------------------------
 
-_QUICK = ["logistic_regression", "decision_tree", "knn"]
+def _baselines_sql(models: list[str]) -> str:
+    return union_all([f"SELECT 'baseline' AS stage, '{m}' AS model, 'ok' AS status, TRUE AS beats_trivial" for m in models])
 
 
-@check("baseline_models")
-def baseline_models(spark, sf_dir):
-    data = frames(spark, sf_dir, "y_bin")
+def _baselines(spark, sf_dir, target: str, metric: str, floor: float) -> DataFrame:
+    data = frames(spark, sf_dir, target)
     with _cached(data.train) as train:
-        results = search.run_baselines(train, data.test, data.job(), "accuracy", _QUICK)
-    return search.scores_table(spark, results)
+        results = search.run_baselines(train, data.test, data.job(), metric)
+    return search.scores_table(spark, results).select("stage", "model", "status", (F.col("score") > floor).alias("beats_trivial"))
 
 
-@check("random_search")
+@check("baseline_models", _baselines_sql(ln.CLASS_MODELS))
+def baseline_models(spark, sf_dir):
+    """All classifiers; the classes of y_bin are of nearly equal size."""
+    return _baselines(spark, sf_dir, "y_bin", "accuracy", 0.55)
+
+
+@check("baseline_regressors", _baselines_sql(ln.NUMBER_MODELS))
+def baseline_regressors(spark, sf_dir):
+    return _baselines(spark, sf_dir, "y_reg", "r2", 0.0)
+
+
+@check("random_search", "SELECT 'tuned' AS stage, 'ridge' AS model, 'ok' AS status, TRUE AS beats_trivial")
 def random_search(spark, sf_dir):
+    """The whole grid of ridge in five folds."""
     data = frames(spark, sf_dir, "y_reg")
     with _cached(data.train) as train:
-        result = search.tune("ridge", train, data.test, data.job(), "r2", folds=3, points=4)
-    return search.scores_table(spark, [result])
-
-
-def _members(data: Frames, train: DataFrame, names: list[str], metric: str) -> list[search.Result]:
-    return search.rank(search.run_baselines(train, data.test, data.job(), metric, names))
+        result = search.tune("ridge", train, data.test, data.job(), "r2")
+    return search.scores_table(spark, [result]).select("stage", "model", "status", (F.col("score") > 0).alias("beats_trivial"))
 
 
-_QUICK_NUMBERS = ["linear_regression", "ridge", "decision_tree"]
+#: Members of the ensemble queries; a run takes the best of all models, which train for minutes.
+_MEMBERS = {"y_bin": ["logistic_regression", "random_forest", "linear_svc"], "y_reg": ["ridge", "random_forest", "decision_tree"]}
 
 
-def _ensemble(spark, sf_dir, target: str, names: list[str], metric: str, stacked: bool) -> DataFrame:
+def _ensemble(spark, sf_dir, target: str, metric: str, stacked: bool) -> DataFrame:
     data = frames(spark, sf_dir, target)
     with _cached(data.train) as train:
-        members = _members(data, train, names, metric)
-        if stacked:
-            fitted = search.build_stacking(members, train, data.job())
-        else:
-            fitted = search.build_voting(members, data.job())
-    return _predictions(data, fitted)
+        members = search.rank(search.run_baselines(train, data.test, data.job(), metric, _MEMBERS[target]))
+        fitted = search.build_stacking(members, train, data.job()) if stacked else search.build_voting(members, data.job())
+    return judged(data, fitted)
 
 
-@check("voting_classifier")
+@check("voting_classifier", _judged_sql("y_bin"))
 def voting_classifier(spark, sf_dir):
-    return _ensemble(spark, sf_dir, "y_bin", _QUICK, "accuracy", stacked=False)
+    return _ensemble(spark, sf_dir, "y_bin", "accuracy", stacked=False)
 
 
-@check("voting_regressor")
+@check("voting_regressor", _judged_sql("y_reg"))
 def voting_regressor(spark, sf_dir):
-    return _ensemble(spark, sf_dir, "y_reg", _QUICK_NUMBERS, "r2", stacked=False)
+    return _ensemble(spark, sf_dir, "y_reg", "r2", stacked=False)
 
 
-@check("stacking_classifier")
+@check("stacking_classifier", _judged_sql("y_bin"))
 def stacking_classifier(spark, sf_dir):
-    return _ensemble(spark, sf_dir, "y_bin", _QUICK, "accuracy", stacked=True)
+    return _ensemble(spark, sf_dir, "y_bin", "accuracy", stacked=True)
 
 
-@check("stacking_regressor")
+@check("stacking_regressor", _judged_sql("y_reg"))
 def stacking_regressor(spark, sf_dir):
-    return _ensemble(spark, sf_dir, "y_reg", _QUICK_NUMBERS, "r2", stacked=True)
+    return _ensemble(spark, sf_dir, "y_reg", "r2", stacked=True)
 
 
-@check("model_save_load")
+@check("model_save_load", _judged_sql("y_bin", more=", TRUE AS same"))
 def model_save_load(spark, sf_dir):
+    """A forest read back answers every test row as the one that was saved."""
     data = frames(spark, sf_dir, "y_bin")
     path = new_path(spark, "model")
-    ln.fit_learner("decision_tree", data.train, data.job(), {"max_depth": 5}).save(path)
-    return _predictions(data, ln.load_model(spark, path))
+    fitted = ln.fit_learner("random_forest", data.train, data.job(), {"n_estimators": 20})
+    fitted.save(path)
+    restored = ln.load_model(spark, path)
+    first = fitted.transform(data.test).select("_row_id", F.col("probability").alias("_first"))
+    again = restored.transform(data.test).select("_row_id", "probability")
+    same = first.join(again, "_row_id").select("_row_id", (F.col("_first") == F.col("probability")).alias("same"))
+    return judged(data, restored).join(same, "_row_id")
 
 
 # -- the whole preparation ------------------------------------------------------------------------
@@ -394,15 +436,26 @@ def score_features(spark, sf_dir):
     return rounded(out, 5, *_SCORED)
 
 
-@check("full_prepare")
+def _cleaned_sql(target: str) -> str:
+    return with_split(f"SELECT CAST(o_orderkey AS VARCHAR) AS _row_id, _split, {target}, TRUE AS filled FROM s")
+
+
+def _cleaned(spark, sf_dir, target: str) -> DataFrame:
+    """Every row with its side and target, and whether all its features, scaled and encoded, are there."""
+    prepared = _preparer(target).fit(_one_target(spark, sf_dir, target))
+    present = [q(c).isNotNull() & ~F.isnan(q(c)) for c in prepared.state.features]
+    return prepared.cleaned().select("_row_id", "_split", q(target), reduce(and_, present).alias("filled"))
+
+
+@check("full_prepare", _cleaned_sql("y_bin"))
 def full_prepare(spark, sf_dir):
-    return _preparer("y_bin").fit(_one_target(spark, sf_dir, "y_bin")).cleaned()
+    return _cleaned(spark, sf_dir, "y_bin")
 
 
-@check("full_prepare_balanced")
+@check("full_prepare_balanced", _cleaned_sql("y_imb"))
 def full_prepare_balanced(spark, sf_dir):
     """Severe imbalance: the training rows are over-sampled."""
-    return _preparer("y_imb").fit(_one_target(spark, sf_dir, "y_imb")).cleaned()
+    return _cleaned(spark, sf_dir, "y_imb")
 
 
 @check("full_prepare_log")
@@ -416,24 +469,40 @@ def _scoring_model(spark, sf_dir):
     return prepared.model, fitted
 
 
-@check("score_batch")
+@check("score_batch", with_messy("SELECT o_orderkey, TRUE AS finite, TRUE AS beats_trivial FROM m"))
 def score_batch(spark, sf_dir):
+    """Raw rows scored by a state that was saved and read back."""
     model, fitted = _scoring_model(spark, sf_dir)
     path = new_path(spark, "state")
     model.save(path)
-    restored = type(model).load(spark, path)
-    return restored.score(fitted, _one_target(spark, sf_dir, "y_reg").drop("y_reg"), ["o_orderkey"])
+    raw = _one_target(spark, sf_dir, "y_reg")
+    scored = type(model).load(spark, path).score(fitted, raw.drop("y_reg"), ["o_orderkey"]).withColumnRenamed("y_reg", "prediction")
+    both = scored.join(raw.select("o_orderkey", F.col("y_reg").alias("_label")), "o_orderkey")
+    return both.select("o_orderkey", _well_formed(both, 0).alias("finite")).crossJoin(_beats_trivial(both, 0))  # one row
 
 
-@check("score_stream")
+@check("score_stream", with_messy("SELECT o_orderkey, TRUE AS same FROM m"))
 def score_stream_query(spark, sf_dir):
-    """The same orders as files of a stream; equals score_batch row for row."""
+    """The same orders as files of a stream; equals the batch row for row."""
     model, fitted = _scoring_model(spark, sf_dir)
     raw = _one_target(spark, sf_dir, "y_reg").drop("y_reg")
     source, sink, log = (new_path(spark, n) for n in ("source", "sink", "log"))
     raw.repartition(4).write.parquet(source)
     score_stream(read_table_stream(spark, source, raw.schema), model, fitted, sink, log, ["o_orderkey"]).awaitTermination()
-    return spark.read.parquet(sink)
+    batch = model.score(fitted, raw, ["o_orderkey"]).withColumnRenamed("y_reg", "_batch")
+    streamed = spark.read.parquet(sink)
+    return streamed.join(batch, "o_orderkey").select("o_orderkey", (F.abs(F.col("y_reg") - F.col("_batch")) <= 1e-9 * F.abs("_batch")).alias("same"))
+
+
+@check("predictions_csv", with_messy("SELECT o_orderkey, TRUE AS same FROM m"))
+def predictions_csv(spark, sf_dir):
+    """Predictions written as CSV with a header and read back."""
+    model, fitted = _scoring_model(spark, sf_dir)
+    scored = model.score(fitted, _one_target(spark, sf_dir, "y_reg").drop("y_reg"), ["o_orderkey"])
+    path = new_path(spark, "predictions")
+    write_csv(scored, path)
+    back = read_csv(spark, path).select("o_orderkey", F.col("y_reg").alias("_read"))
+    return scored.join(back, "o_orderkey").select("o_orderkey", (F.abs(F.col("y_reg") - F.col("_read")) <= 1e-9 * F.abs("y_reg")).alias("same"))
 
 
 @check("full_run")

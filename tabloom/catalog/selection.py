@@ -170,11 +170,16 @@ def elbow_cut(spark, sf_dir):
     return rounded(imp.elbow_table(importances), 5, "importance")
 
 
-@check("rf_importance")
+@check(
+    "rf_importance",
+    union_all([f"SELECT '{f}' AS feature, TRUE AS in_range, TRUE AS sums_to_one, {'TRUE' if f == 'price' else 'FALSE'} AS first" for f in ("price", "spiky", "shop", "skewed")]),
+)
 def rf_importance(spark, sf_dir):
+    """Importances of a forest of 100 trees; the price alone tells big orders from small ones."""
     data = frames(spark, sf_dir, "y_bin")
-    table_ = imp.forest_importances(data.train, data.features, data.n_classes)
-    return imp.elbow_table(table_)
+    table_ = imp.elbow_table(imp.forest_importances(data.train, data.features, data.n_classes))
+    total = table_.agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
+    return table_.select("feature", q("importance").between(0, 1).alias("in_range"), (F.col("rank") == 1).alias("first")).crossJoin(total)  # one row
 
 
 # -- neighbours and balancing ---------------------------------------------------------------------
@@ -259,6 +264,28 @@ def smote_neighbours(spark, sf_dir):
     return rounded(knn(minority, minority, 5, "o_orderkey", "v", exclude_self=True), 4, "distance")
 
 
-@check("smote_points")
+@check(
+    "smote_points",
+    with_messy("""SELECT CAST(sum(CASE y_imb WHEN 0 THEN 1 ELSE -1 END) AS BIGINT) AS n, CAST(sum(CASE y_imb WHEN 0 THEN 1 ELSE -1 END) AS BIGINT) AS n_on_segment,
+        CAST(sum(y_imb) AS BIGINT) AS seeds, TRUE AS even FROM m"""),
+)
 def smote_points(spark, sf_dir):
-    return smote(_points(spark, sf_dir), "o_orderkey", "y_imb", "v").where("_synthetic")
+    """Synthetic rows: how many lie between their seed and one of its five nearest rows of the class, and how evenly seeds serve."""
+    points = _points(spark, sf_dir)
+    made = smote(points, "o_orderkey", "y_imb", "v").where("_synthetic")
+    rows = points.where("y_imb = 1").select(q("o_orderkey").alias("id"), q("v").cast("array<double>").alias("vector"))
+    near = knn(rows, rows, 5, exclude_self=True).select(q("query_id").alias("o_orderkey"), "neighbour_id")
+    ends = near.join(rows.select(q("id").alias("neighbour_id"), q("vector").alias("b")), "neighbour_id")
+    ends = ends.join(rows.select(q("id").alias("o_orderkey"), q("vector").alias("a")), "o_orderkey")
+    numbered = made.withColumn("_n", F.monotonically_increasing_id())
+
+    def gap(x, y):
+        return F.sqrt(F.aggregate(F.zip_with(x, y, lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda s, t: s + t))
+
+    p = q("v").cast("array<double>")
+    off = F.min(gap(p, q("a")) + gap(p, q("b")) - gap(q("a"), q("b"))).alias("off")
+    judged = numbered.join(ends, "o_orderkey").groupBy("_n", "o_orderkey").agg(off, F.max(gap(q("a"), q("b"))).alias("span"))
+    turns = judged.groupBy("o_orderkey").agg(F.count("*").alias("turns"), F.count_if(q("off") <= 1e-7 * (1 + q("span"))).alias("good"))
+    return turns.agg(
+        F.sum("turns").alias("n"), F.sum("good").alias("n_on_segment"), F.count("*").alias("seeds"), (F.max("turns") - F.min("turns") <= 1).alias("even")
+    )
