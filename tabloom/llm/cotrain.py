@@ -31,6 +31,7 @@ HEADS = ("quality", "toxic")
 PLACES = {"text": 1 << 20, "meta": 1 << 16}
 PENALTY = {"text": 3e-3, "meta": 1e-3}
 STEPS = 300
+STILL = 1e-6  # no weight moves further: done
 #: Margins are counted in bins of this width when the surest are looked for.
 BINS_PER_UNIT = 64
 KNOWN_WORDS = 500_000
@@ -129,10 +130,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_view(rows: Rows, label: np.ndarray, penalty: float, size: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights of few places and a free constant: logistic loss in which both classes weigh the same, by accelerated proximal steps."""
-    used, at = np.unique(rows.places, return_inverse=True)  # only places that occur can get a weight
-    small = Rows(at, rows.starts)
-    owner = np.repeat(np.arange(len(label)), np.diff(rows.starts))
     share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    owner = np.repeat(np.arange(len(label)), np.diff(rows.starts))
+    used, at = np.unique(rows.places, return_inverse=True)
+    # a place's slope is at most the share of the rows that have it: with no more than the penalty its weight is always 0
+    able = np.bincount(at, weights=share[owner], minlength=len(used)) > penalty
+    keep = able[at]
+    used, at, owner = used[able], (np.cumsum(able) - 1)[at[keep]], owner[keep]
+    small = Rows(at, np.r_[0, np.cumsum(np.bincount(owner, minlength=len(label)))])
     v = np.ones(len(used) + 1)
     curve = 1.0
     for _ in range(12):  # the largest curvature, by powers
@@ -153,6 +158,9 @@ def fit_view(rows: Rows, label: np.ndarray, penalty: float, size: int, steps: in
             momentum, ahead = 1.0, w
             w = new
             continue
+        if np.abs(new - w).max() < STILL:
+            w = new
+            break
         later = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         ahead, w, momentum = new + (momentum - 1) / later * (new - w), new, later
     out = np.zeros(size, dtype=np.float32)
@@ -185,50 +193,56 @@ class Head:
     quota: dict[int, int]
 
 
-FITTED = pa.schema([("head", pa.string()), ("constant", pa.float64()), ("ones", pa.int64()), ("zeros", pa.int64())]
-                   + [(f"{v}_weights", pa.binary()) for v in VIEWS] + [("numbers", pa.list_(pa.float64()))])
-FITTED_DDL = "head string, constant double, ones long, zeros long, text_weights binary, meta_weights binary, numbers array<double>"
+TASKS = [(h, v) for h in HEADS for v in VIEWS]
+FITTED = pa.schema([("task", pa.int32()), ("ones", pa.int64()), ("zeros", pa.int64()), ("weights", pa.binary()), ("constant", pa.float64())]
+                   + [(c, pa.list_(pa.float64())) for c in ("labels", "margins")])
+FITTED_DDL = "task int, ones long, zeros long, weights binary, constant double, labels array<double>, margins array<double>"
 
 
-def fit_head(group: pa.Table, steps: int = STEPS) -> pa.Table:
-    """Fit and calibrate both views on the bounded rows of one head; `view` is null for labelled rows."""
-    name = group.column("head")[0].as_py()
-    keys = group.column("key").to_numpy()
-    order = np.argsort(keys, kind="stable")
+def fit_task(group: pa.Table, steps: int = STEPS) -> pa.Table:
+    """Fit one view of one head on its bounded rows; with it come the labels and margins of the rows that calibrate, by key."""
+    task = group.column("task")[0].as_py()
+    order = np.argsort(group.column("key").to_numpy(), kind="stable")
     label = group.column("label").to_numpy()[order].astype(float)
-    aside = np.array(group.column("calibrates").to_pylist())[order]
-    view = np.array([v or "" for v in group.column("view").to_pylist()])[order]
-    parts = {v: np.array(group.column(c).to_pylist(), dtype=object)[order] for v, c in zip(VIEWS, ("words", "facts"))}
-    fits = (view == "") & ~aside
-    ones, zeros = int((label[fits] == 1).sum()), int((label[fits] == 0).sum())
-    checks = set(label[aside].tolist())
-    if not ones or not zeros or checks != {0.0, 1.0}:
-        row = (name, ones / (ones + zeros) if ones + zeros else 0.5, ones, zeros, None, None, [])
-    else:
-        weights, numbers, margins = {}, [], []
-        for v in VIEWS:
-            mine = fits | (view == v)
-            weights[v], constant = fit_view(Rows.of(list(parts[v][mine])), label[mine], PENALTY[v], PLACES[v], steps)
-            margins.append(Rows.of(list(parts[v][aside])).margins(weights[v].astype(float)) + constant)
-            numbers.append(constant)
-        for columns in ([margins[0]], [margins[1]], margins):
-            numbers += calibrate(np.stack(columns, 1), label[aside]).tolist()
-        row = (name, None, ones, zeros, weights["text"].tobytes(), weights["meta"].tobytes(), numbers)
+    aside, given = (np.array(group.column(c).to_pylist())[order] for c in ("calibrates", "given"))
+    places = np.array(group.column("places").to_pylist(), dtype=object)[order]
+    own = ~aside & ~given
+    ones, zeros = int((label[own] == 1).sum()), int((label[own] == 0).sum())
+    row = (task, ones, zeros, None, 0.0, label[aside].tolist(), [])
+    if ones and zeros and aside.any():
+        view = TASKS[task][1]
+        weights, constant = fit_view(Rows.of(list(places[~aside])), label[~aside], PENALTY[view], PLACES[view], steps)
+        margins = Rows.of(list(places[aside])).margins(weights.astype(float)) + constant
+        row = (task, ones, zeros, weights.tobytes(), constant, label[aside].tolist(), margins.tolist())
     return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, FITTED)], schema=FITTED)
 
 
 def fit_heads(rows: DataFrame, steps: int) -> dict[str, Head]:
-    """One task per head; rows: head, key, view, label, calibrates, words, facts, bounded by MAX_LABELLED and the quotas."""
-    out = {h: Head(0.5, {}, {}, {}, {}) for h in HEADS}
-    for r in rows.groupBy("head").applyInArrow(lambda group: fit_head(group, steps), FITTED_DDL).collect():
-        quota = {1: int(HANDED * r["ones"]), 0: int(HANDED * r["zeros"])}
-        if r["constant"] is not None:
-            out[r["head"]] = Head(r["constant"], {}, {}, {}, quota)
+    """One task per head and view; rows: head, view, key, label, calibrates, words, facts, bounded by MAX_LABELLED and the quotas.
+
+    `view` is null for labelled rows, which both views fit. The driver calibrates, on as many margins as there are rows kept aside.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("task"), F.col(c).alias("places"), F.lit(h).alias("_h"), F.lit(v).alias("_v"))
+                      for i, ((h, v), c) in enumerate(zip(TASKS, ("words", "facts") * len(HEADS)))])
+    dealt = rows.select("head", "view", "key", "label", "calibrates", F.inline(sides)).where("_h = head AND (view IS NULL OR _v = view)")
+    dealt = dealt.select("task", "key", "label", "calibrates", F.col("view").isNotNull().alias("given"), "places").repartitionByRange(len(TASKS), "task")
+    found = {TASKS[r["task"]]: r for r in dealt.groupBy("task").applyInArrow(lambda group: fit_task(group, steps), FITTED_DDL).collect()}
+    out = {}
+    for h in HEADS:
+        parts = [found.get((h, v)) for v in VIEWS]
+        if parts[0] is None:
+            out[h] = Head(0.5, {}, {}, {}, {})
+            continue
+        ones, zeros = parts[0]["ones"], parts[0]["zeros"]
+        quota = {1: int(HANDED * ones), 0: int(HANDED * zeros)}
+        label = np.array(parts[0]["labels"])
+        if not ones or not zeros or set(label.tolist()) != {0.0, 1.0}:
+            out[h] = Head(ones / (ones + zeros) if ones + zeros else 0.5, {}, {}, {}, quota)
             continue
-        n = r["numbers"]
-        weights = {v: np.frombuffer(r[f"{v}_weights"], np.float32) for v in VIEWS}
-        sigmoids = {"text": n[2:4], "meta": n[4:6], "both": n[6:9]}
-        out[r["head"]] = Head(None, weights, dict(zip(VIEWS, n[:2])), sigmoids, quota)
+        margins = [np.array(p["margins"]) for p in parts]
+        sigmoids = {v: calibrate(m[:, None], label).tolist() for v, m in zip(VIEWS, margins)} | {"both": calibrate(np.stack(margins, 1), label).tolist()}
+        weights = {v: np.frombuffer(p["weights"], np.float32) for v, p in zip(VIEWS, parts)}
+        out[h] = Head(None, weights, {v: p["constant"] for v, p in zip(VIEWS, parts)}, sigmoids, quota)
     return out
 
 
