@@ -16,10 +16,10 @@ from ..operators.encode import fit_scaler
 from ..operators.impute import fit_imputer
 from ..operators.target import label_index, label_list
 from ..plans.prepare import Preparer, assemble
-from ..plans.run import run
+from ..plans.run import load_outcome, run
 from ..session import new_path, sized
 from ..sources.tables import read_csv, write_csv
-from ..streaming.scoring import read_table_stream, score_stream
+from ..streaming.scoring import read_table_stream, score_stream, score_stream_batches
 from .fixtures import messy, rounded, split, table, train_rows, union_all, with_messy, with_split
 from .registry import check
 
@@ -505,6 +505,32 @@ def predictions_csv(spark, sf_dir):
     return scored.join(back, "o_orderkey").select("o_orderkey", (F.abs(F.col("y_reg") - F.col("_read")) <= 1e-9 * F.abs("y_reg")).alias("same"))
 
 
+@check("outcome_bundle", with_messy("SELECT o_orderkey, TRUE AS same FROM m"))
+def outcome_bundle(spark, sf_dir):
+    """A whole outcome saved in one folder and read back predicts as the one that was saved."""
+    raw = _one_target(spark, sf_dir, "y_reg")
+    outcome = run(raw, _preparer("y_reg"), ["linear_regression", "ridge"], tune_top=1)
+    path = new_path(spark, "outcome")
+    outcome.save(path)
+    first = outcome.predict(raw, ["o_orderkey"]).withColumnRenamed("y_reg", "_first")
+    again = load_outcome(spark, path).predict(raw.drop("y_reg"), ["o_orderkey"])
+    return again.join(first, "o_orderkey").select("o_orderkey", (F.abs(F.col("y_reg") - F.col("_first")) <= 1e-9 * F.abs("_first")).alias("same"))
+
+
+@check("score_stream_knn", with_messy("SELECT o_orderkey, TRUE AS same FROM m"))
+def score_stream_knn(spark, sf_dir):
+    """A stream scored batch by batch with neighbours searched by joins equals the batch row for row."""
+    prepared = _preparer("y_bin").fit(_one_target(spark, sf_dir, "y_bin"))
+    fitted = ln.fit_learner("knn", prepared.train, ln.Job("classification", 2))
+    fitted.broadcast_bytes = 0
+    raw = _one_target(spark, sf_dir, "y_bin").drop("y_bin")
+    source, sink, log = (new_path(spark, n) for n in ("source", "sink", "log"))
+    raw.repartition(3).write.parquet(source)
+    score_stream_batches(read_table_stream(spark, source, raw.schema), prepared.model, fitted, sink, log, ["o_orderkey"]).awaitTermination()
+    streamed = spark.read.parquet(sink).select("o_orderkey", F.col("y_bin").alias("_streamed"))
+    return prepared.model.score(fitted, raw, ["o_orderkey"]).join(streamed, "o_orderkey").select("o_orderkey", (F.col("y_bin") == F.col("_streamed")).alias("same"))
+
+
 @check("full_run")
 def full_run(spark, sf_dir):
     """Preparation, baselines, stop rules, tuning, ensembles, choice."""

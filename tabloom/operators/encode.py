@@ -6,40 +6,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import fresh_names, long_form, per_column, q, replace_columns
-from ..functions.moments import sum_of_squares
+from ..functions.columns import fresh_names, per_column, q, replace_columns
+from .categories import CategoryStats
 from .outliers import FLAG
 
 ONE_HOT_LIMIT = 10
 
 
-def category_target_stats(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(column, value, n, mean, ss): one shuffle for all columns, combined map-side."""
-    return (
-        long_form(df.select(q(target).cast("double").alias("_y"), *[q(c) for c in columns]), columns, ["_y"])
-        .groupBy("column", "value")
-        .agg(F.count("_y").alias("n"), F.avg("_y").alias("mean"), sum_of_squares(F.col("_y")).alias("ss"))
-    )
-
-
 def target_encoding_table(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(column, value, encoding) with variance-based smoothing towards the global mean.
-
-    weight = V*n / (V*n + ss/n), V the population variance of the target; the global mean is used
-    where the weight is undefined.
-    """
-    overall = df.agg(
-        F.avg(q(target).cast("double")).alias("grand"),
-        F.var_pop(q(target).cast("double")).alias("v"),
-    )
-    pull = F.col("v") * F.col("n")
-    weight = pull / F.nullif(pull + F.col("ss") / F.col("n"), F.lit(0.0))
-    encoding = F.coalesce(
-        weight * F.col("mean") + (1 - weight) * F.col("grand"), F.col("grand")
-    )
-    stats = category_target_stats(df, columns, target)
-    # `overall` is one row
-    return stats.join(F.broadcast(overall)).select("column", "value", encoding.alias("encoding"))
+    """(column, value, encoding); see CategoryStats.encodings."""
+    return CategoryStats.of(df, columns, target).encodings().drop("grand")
 
 
 def one_hot(column: str, levels: list[str]) -> dict[str, Column]:
@@ -77,16 +53,20 @@ class Encoder:
         return replace_columns(df, new).drop(*self.one_hot)
 
 
-def fit_encoder(train: DataFrame, numbers: list[str], categories: list[str], target: str) -> Encoder:
-    """High-cardinality categories (> 10 values) by target mean, the others one-hot."""
+def fit_encoder(train: DataFrame, numbers: list[str], categories: list[str], target: str, found: DataFrame | None = None) -> Encoder:
+    """High-cardinality categories (> 10 values) by target mean, the others one-hot.
+
+    `found` are the encodings of rare-folded columns where they are known already: at most 101 values each.
+    """
     state = Encoder(numbers=list(numbers), taken=list(train.columns))
     if not categories:
         return state
-    state.grand_mean = float(train.agg(F.avg(q(target))).first()[0] or 0.0)
-    rows = target_encoding_table(train, categories, target).orderBy("column", "value").collect()
+    if found is None:
+        found = CategoryStats.of(train, categories, target).encodings()
     tables: dict[str, dict[str, float]] = {c: {} for c in categories}
-    for r in rows:
+    for r in found.orderBy("column", "value").collect():
         tables[r["column"]][r["value"]] = r["encoding"]
+        state.grand_mean = float(r["grand"] or 0.0)
     for c in categories:
         if len(tables[c]) > ONE_HOT_LIMIT:
             state.target_encoded[c] = tables[c]

@@ -10,12 +10,10 @@ from ..functions.columns import per_column, q, replace_columns
 from ..functions.moments import adjusted_skew
 from ..functions.quantiles import quantiles
 from ..session import new_path
+from .categories import OTHER, CategoryStats
 from .impute import SKEW_LIMIT
-from .select import category_frequencies
 
 FLAG = "Is_Massive_"
-OTHER = "Other"
-RARE_LIMIT = 0.01
 # rare lists up to this size live in the state as literals, longer ones as a lookup table
 INLINE_RARE = 2_000
 
@@ -49,7 +47,7 @@ def vip_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def rare_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) of categories below 1% of the rows."""
-    return category_frequencies(df, columns).where(F.col("share") < RARE_LIMIT).select("column", "value")
+    return CategoryStats.of(df, columns).rare()
 
 
 def clip(value: Column, lower: float, upper: float) -> Column:
@@ -97,12 +95,12 @@ class Outliers:
 
 
 def rare_values(
-    train: DataFrame, columns: list[str], inline: int = INLINE_RARE
+    train: DataFrame, columns: list[str], inline: int = INLINE_RARE, stats: CategoryStats | None = None
 ) -> tuple[dict[str, list[str]], dict[str, str]]:
     """Short rare lists as literals, long ones written as lookup tables."""
     if not columns:
         return {}, {}
-    rare = rare_table(train, columns).persist()
+    rare = (stats.only(columns).rare() if stats else rare_table(train, columns)).persist()
     try:
         sizes = {r["column"]: r["count"] for r in rare.groupBy("column").count().collect()}
         short = [c for c, n in sizes.items() if n <= inline]
@@ -125,12 +123,13 @@ def fit_outliers(
     categories: list[str],
     approx: bool = False,
     rows: int | None = None,
+    stats: CategoryStats | None = None,
 ) -> Outliers:
     state = Outliers(bounds=iqr_bounds(train, numbers, approx, rows))
     if numbers:
         vips = {r["column"] for r in vip_table(train, numbers).where("vip").collect()}
         state.flags = [c for c in numbers if c in vips and c in state.bounds]
-    state.rare, state.rare_lookup = rare_values(train, categories)
+    state.rare, state.rare_lookup = rare_values(train, categories, stats=stats)
     if numbers:
         state.logged = skewed_columns(Outliers(bounds=state.bounds).transform(train), numbers)
     return state

@@ -6,11 +6,11 @@ import math
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import long_form, q
-from ..functions.moments import sum_of_squares
+from ..functions.columns import q
 from ..functions.pvalues import chi2_p_value, f_p_value
+from .categories import CategoryStats
 
 CORRELATION_LIMIT = 0.80
 P_LIMIT = 0.05
@@ -65,101 +65,30 @@ def multicollinear_columns(df: DataFrame, columns: list[str], target: str) -> li
 
 def category_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n, share) of every category."""
-    counts = long_form(df, columns, []).groupBy("column", "value").agg(F.count("*").alias("n"))
-    totals = df.agg(F.count("*").alias("total"))
-    # a single row on the right
-    return counts.join(F.broadcast(totals)).select(
-        "column", "value", "n", (F.col("n") / F.col("total")).alias("share")
-    )
+    return CategoryStats.of(df, columns).shares()
 
 
 def crosstab(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(column, value, label, n): contingency tables of all columns in one shuffle."""
-    return (
-        long_form(df, columns, [label])
-        .groupBy("column", "value", q(label).alias("label"))
-        .agg(F.count("*").alias("n"))
-    )
+    return CategoryStats.of(df, columns, label, classes=True).crosstab()
 
 
 def chi2_table(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(column, statistic, dof, n_values, n_classes) of category x class independence.
-
-    Everything after the first, map-side combined count works on distinct (value, class) cells.
-    Cells never seen add their expected count. 2x2 tables get the continuity correction: all four
-    differences are equal there, so it needs only the sum of 1/expected.
-    """
-    cells = crosstab(df, columns, label)
-    by_class = df.groupBy(q(label).alias("_class")).agg(F.count("*").alias("class_n"))
-    total = df.agg(F.count("*").alias("total"))
-    row = Window.partitionBy("column", "value")
-    expected = F.col("row_n") * F.col("class_n") / F.col("total")
-    gap = F.abs(F.col("n") - expected)
-    sums = (
-        cells.withColumn("row_n", F.sum("n").over(row).cast("double"))
-        .withColumn("head", F.row_number().over(row.orderBy("label")) == 1)
-        .join(F.broadcast(by_class), F.col("label") == F.col("_class"))  # one row per class
-        .join(F.broadcast(total))  # one row
-        .groupBy("column")
-        .agg(
-            F.sum(gap * gap / expected).alias("seen"),
-            F.sum(expected).alias("expected_seen"),
-            F.max(gap).alias("gap"),
-            F.sum(F.when(F.col("head"), 1 / F.col("row_n")).otherwise(0.0)).alias("inverse_rows"),
-            F.sum(F.col("n") / F.col("class_n") / F.col("class_n")).alias("inverse_classes"),
-            F.count_if("head").alias("n_values"),
-            F.count_distinct("label").alias("n_classes"),
-            F.first("total").alias("total"),
-        )
-    )
-    plain = F.col("seen") + F.col("total") - F.col("expected_seen")
-    corrected = (
-        F.pow(F.greatest(F.col("gap") - 0.5, F.lit(0.0)), 2)
-        * F.col("total") * F.col("inverse_rows") * F.col("inverse_classes")
-    )
-    dof = (F.col("n_values") - 1) * (F.col("n_classes") - 1)
-    return sums.select(
-        "column",
-        F.when(dof < 1, None).when(dof == 1, corrected).otherwise(plain).alias("statistic"),
-        dof.alias("dof"),
-        "n_values",
-        "n_classes",
-    )
+    """(column, statistic, dof, n_values, n_classes) of category x class independence."""
+    return CategoryStats.of(df, columns, label, classes=True).chi2()
 
 
 def anova_table(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """(column, statistic, df1, df2) of the one-way F test of the target over categories."""
-    y = q(target).cast("double")
-    groups = (
-        long_form(df.select(y.alias("_y"), *[q(c) for c in columns]), columns, ["_y"])
-        .where(F.col("_y").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"), F.avg("_y").alias("mean"), sum_of_squares(F.col("_y")).alias("ss"))
-    )
-    overall = df.agg(F.avg(y).alias("grand"))
-    sums = (
-        groups.join(F.broadcast(overall))  # one row
-        .groupBy("column")
-        .agg(
-            F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("between"),
-            F.sum("ss").alias("within"),
-            (F.count("*") - 1).alias("df1"),
-            (F.sum("n") - F.count("*")).alias("df2"),
-        )
-    )
-    ratio = (F.col("between") / F.col("df1")) / F.nullif(F.col("within") / F.col("df2"), F.lit(0.0))
-    usable = (F.col("df1") > 0) & (F.col("df2") > 0)
-    return sums.select("column", F.when(usable, ratio).alias("statistic"), "df1", "df2")
-
-
-def weak_categories(df: DataFrame, columns: list[str], target: str, regression: bool) -> list[str]:
+    return CategoryStats.of(df, columns, target).anova()
+
+
+def weak_categories(stats: CategoryStats, columns: list[str], regression: bool) -> list[str]:
     """Categories whose test does not reach significance; undecidable ones stay."""
     if not columns:
         return []
     if regression:
-        rows = anova_table(df, columns, target).collect()
-        p = {r["column"]: f_p_value(r["statistic"], r["df1"], r["df2"]) for r in rows}
+        p = {r["column"]: f_p_value(r["statistic"], r["df1"], r["df2"]) for r in stats.anova().collect()}
     else:
-        rows = chi2_table(df, columns, target).collect()
-        p = {r["column"]: chi2_p_value(r["statistic"], r["dof"]) for r in rows}
+        p = {r["column"]: chi2_p_value(r["statistic"], r["dof"]) for r in stats.chi2().collect()}
     return [c for c in columns if p.get(c) is not None and p[c] > P_LIMIT]

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import NUMERIC_TYPES, q
 from ..functions.moments import adjusted_skew
+from ..session import staged
 from .profile import CLASS_LIMIT
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 
 
+#: Estimates of so many times the limit leave no doubt.
+FAR = 5
+#: Classes that models are trained for at most.
+MAX_CLASSES = 10_000
+
+
 def task_table(df: DataFrame, targets: list[str]) -> DataFrame:
     """(column, task) for each candidate target."""
     rows = [(c, detect_task(df, c)) for c in targets]
@@ -22,12 +29,14 @@ def task_table(df: DataFrame, targets: list[str]) -> DataFrame:
 def detect_task(df: DataFrame, target: str) -> str:
     """Numeric targets with more than 20 distinct values are regression, all else classes.
 
-    The distinct scan stops as soon as 21 values are seen.
+    A sketch, combined inside tasks, settles what is far beyond the limit; only near it are values counted exactly,
+    and then there are few of them.
     """
     if not isinstance(df.schema[target].dataType, NUMERIC_TYPES):
         return CLASSIFICATION
-    seen = df.where(q(target).isNotNull()).select(q(target)).distinct().limit(CLASS_LIMIT + 1).count()
-    return CLASSIFICATION if seen <= CLASS_LIMIT else REGRESSION
+    if (df.agg(F.approx_count_distinct(q(target)).alias("n")).first()["n"] or 0) > FAR * CLASS_LIMIT:
+        return REGRESSION
+    return CLASSIFICATION if df.agg(F.count_distinct(q(target)).alias("n")).first()["n"] <= CLASS_LIMIT else REGRESSION
 
 
 def class_metric(df: DataFrame, target: str) -> DataFrame:
@@ -63,16 +72,26 @@ def regression_metric(df: DataFrame, target: str) -> DataFrame:
 
 
 def label_table(df: DataFrame, target: str) -> DataFrame:
-    """(label, idx): sorted labels to 0..k-1, one row per class."""
+    """(label, idx): sorted labels to 0..k-1, one row per class, however many there are.
+
+    Labels are dealt by range; a label's index is its place in its range after the labels of the ranges before.
+    """
     labels = df.where(q(target).isNotNull()).select(q(target).alias("label")).distinct()
-    packed = labels.agg(F.array_sort(F.collect_list("label")).alias("labels"))
-    return packed.select(F.posexplode("labels").alias("idx", "label")).select(
-        "label", F.col("idx").cast("long").alias("idx")
-    )
+    ranged = staged(labels.repartitionByRange("label").withColumn("_part", F.spark_partition_id()), "labels")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
+    offsets = offsets.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("label")) - 1
+    return ranged.withColumn("_at", place).join(offsets, "_part").select("label", (F.col("_before") + F.col("_at")).cast("long").alias("idx"))
 
 
 def label_list(df: DataFrame, target: str) -> list:
-    return [r["label"] for r in label_table(df, target).orderBy("idx").collect()]
+    """The labels in order. A target with more than MAX_CLASSES of them, such as free text, is refused."""
+    table = label_table(df, target)
+    found = table.limit(MAX_CLASSES + 1).count()
+    if found > MAX_CLASSES:
+        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} different values: it is no class to be learnt")
+    return [r["label"] for r in table.orderBy("idx").collect()]
 
 
 def label_index(labels: list, target: Column, dtype: T.DataType) -> Column:

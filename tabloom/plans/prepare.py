@@ -12,6 +12,7 @@ from ..functions.columns import kinds, q
 from ..functions.hashing import null_flags
 from ..operators import target as tgt
 from ..operators.balance import NEIGHBOURS, SEVERE_RATIO, class_counts, smote
+from ..operators.categories import CategoryStats
 from ..operators.encode import Encoder, Scaler, align, fit_encoder, fit_scaler
 from ..operators.importance import elbow_features, forest_importances
 from ..operators.impute import Imputer, fit_imputer
@@ -21,7 +22,7 @@ from ..operators.rows import dedup_by_key, dedup_rows, drop_null_target
 from ..operators.select import multicollinear_columns, weak_categories
 from ..operators.split import TEST, TRAIN, stratified_sample, simple_sample, train_test_split
 from ..operators.textfeat import TextFeatures, fit_text_features
-from ..session import staged
+from ..session import dropped, staged
 from ..sources.tables import nan_to_null, validate_input
 
 INTERNAL = ["_row_id", "_split", "_label"]
@@ -249,7 +250,7 @@ class Preparer:
         keys = [c for c in self.key_cols if c in df.columns]
         row_id = q(keys[0]).cast("string") if len(keys) == 1 else content_id(df, keys or None)
         # the shuffled table is written once: the profile, the trim and every later phase scan it
-        table = staged(unique.withColumn("_row_id", row_id), "unique")
+        table = table_on_disk = staged(unique.withColumn("_row_id", row_id), "unique")
         report = plan_trim(
             table, self.target, self.key_cols, self.leakage_cols, self.keep_cols, ["_row_id"]
         )
@@ -262,11 +263,13 @@ class Preparer:
         state.inputs = {f.name: f.dataType.simpleString() for f in inputs}
         frame = self._split(table, state)
         cached: list[DataFrame] = []
+        dropping = [table_on_disk]
         try:
-            return self._fit_phases(frame, state, cached)
+            return self._fit_phases(frame, state, cached, dropping)
         finally:
             for held in cached:
                 held.unpersist()
+            dropped(*dropping)
 
     def _task(self, table: DataFrame, report: TrimReport) -> PrepState:
         task = tgt.detect_task(table, self.target)
@@ -299,7 +302,7 @@ class Preparer:
         labelled = table.withColumn("_label", label).drop(self.target)
         return train_test_split(labelled, "_row_id", self.test_size, self.seed)
 
-    def _fit_phases(self, frame: DataFrame, state: PrepState, cached: list[DataFrame]) -> Prepared:
+    def _fit_phases(self, frame: DataFrame, state: PrepState, cached: list[DataFrame], dropping: list[DataFrame]) -> Prepared:
         regression = state.task == tgt.REGRESSION
 
         def train(df: DataFrame) -> DataFrame:
@@ -316,7 +319,9 @@ class Preparer:
 
         numbers, categories = list(state.imputer.fills), list(state.imputer.categories)
         state.multicollinear = multicollinear_columns(fit_rows, numbers, "_label")
-        state.weak = weak_categories(fit_rows, categories, "_label", regression)
+        # counted once and written once; tests, rare values and encodings are sums over it
+        stats = self._category_stats(fit_rows, categories, regression, dropping)
+        state.weak = weak_categories(stats, categories, regression)
         state.selected_out = [*state.multicollinear, *state.weak]
         numbers = [c for c in numbers if c not in state.selected_out]
         categories = [c for c in categories if c not in state.selected_out]
@@ -324,14 +329,15 @@ class Preparer:
             raise ValueError("no feature column is left after statistical selection")
         kept = filled.drop(*state.selected_out)
 
-        state.outliers = fit_outliers(train(kept), numbers, categories, self.approx, n_train)
+        state.outliers = fit_outliers(train(kept), numbers, categories, self.approx, n_train, stats)
         capped = state.outliers.transform(kept)
         if regression:
             state.target_logged = tgt.should_log_target(train(capped), "_label", state.target_logged)
             if state.target_logged:
                 capped = capped.withColumn("_label", tgt.log_target(F.col("_label")))
+        encodings = stats.only(categories).encodings(state.target_logged, fold=True) if categories else None
         state.encoder = fit_encoder(
-            train(capped), [*numbers, *state.outliers.flag_columns], categories, "_label"
+            train(capped), [*numbers, *state.outliers.flag_columns], categories, "_label", encodings
         )
         encoded = state.encoder.transform(capped)
         state.scaler = fit_scaler(train(encoded), state.encoder.outputs)
@@ -347,6 +353,7 @@ class Preparer:
         # the oversampled rows cost joins; write them once before the learners iterate
         if state.balanced:
             fit_rows = staged(fit_rows, "balanced")
+            dropping.append(fit_rows)
         table = forest_importances(fit_rows, columns, state.classes, self.trees, self.tree_depth, self.seed)
         state.importances = {r["feature"]: r["importance"] for r in table.collect()}
         state.features = elbow_features(table, self.top_n)
@@ -360,6 +367,14 @@ class Preparer:
         train_out, test_out = staged(cut(fit_rows), "train"), staged(cut(test_rows), "test")
         return Prepared(PreparedModel(state), train_out, test_out)
 
+    def _category_stats(self, rows: DataFrame, columns: list[str], regression: bool, dropping: list[DataFrame]) -> CategoryStats | None:
+        if not columns:
+            return None
+        logged = tgt.log_target(F.col("_label")) if regression else None
+        cells = staged(CategoryStats.of(rows, columns, "_label", not regression, logged).cells, "categories")
+        dropping.append(cells)
+        return CategoryStats(cells)
+
     def _balanced(self, rows: DataFrame, state: PrepState) -> DataFrame:
         """Over-sample when the target is severely imbalanced; rows that cannot be stay."""
         if not (state.imbalance_ratio or 0) > SEVERE_RATIO:  # of the whole table, rounded
