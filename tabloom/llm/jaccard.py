@@ -10,6 +10,7 @@ largest overlap they allow; what reaches the leaves is verified on whole sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +231,28 @@ def links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray | None,
     return found
 
 
+def with_cuts(members: DataFrame) -> DataFrame:
+    """The members with `_k`, into how many chunks their block must be cut; blocks of several are fewer than the sets by TASK_SETS."""
+    sums = members.groupBy("block").agg(F.sum("n_shingles").alias("_s"), F.count("*").alias("_n"))
+    cut = F.greatest(F.ceil(F.col("_s") / TASK_SHINGLES), F.ceil(F.col("_n") / TASK_SETS)).cast("int")
+    large = sums.select("block", cut.alias("_k")).where("_k > 1")
+    if large.count() <= BROADCAST_SETS:
+        large = F.broadcast(large)
+    return members.join(large, "block", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+
+
+def by_size(members: DataFrame, percent: int) -> DataFrame:
+    """Blocks beyond one task become a block per size band, which holds the sets of the band and of the next.
+
+    Similar sets are at most 100 / percent apart in size, so they lie in one band or in neighbouring ones; a set goes
+    to two blocks instead of to as many tasks as its block has chunks.
+    """
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100.0001 / percent))
+    both = F.explode(F.when(F.col("_k") > 1, F.array(band, band - 1)).otherwise(F.array(F.lit(-2).cast("long"))))
+    split = with_cuts(members).withColumn("_g", both)
+    return split.select("node", F.when(F.col("_g") == -2, F.col("block")).otherwise(F.xxhash64("block", "_g")).alias("block"), "n_shingles", "set_id", "text")
+
+
 def tree_links(members: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes of the same block.
 
@@ -237,9 +260,7 @@ def tree_links(members: DataFrame, width: int, percent: int) -> DataFrame:
     TASK_SHINGLES and TASK_SETS is one tree in one task. A larger one is dealt by hash into k chunks and every
     pair of chunks, a pair of sub-trees, is a task of its own.
     """
-    sums = members.groupBy("block").agg(F.sum("n_shingles").alias("_s"), F.count("*").alias("_n"))
-    cut = F.greatest(F.ceil(F.col("_s") / TASK_SHINGLES), F.ceil(F.col("_n") / TASK_SETS)).cast("int")
-    placed = members.join(sums.select("block", cut.alias("_k")), "block")
+    placed = with_cuts(by_size(members, percent))
     mine = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     dealt = placed.withColumn("_c", mine).withColumn("_o", other).select(
