@@ -27,7 +27,7 @@ def normalised(text: str | None) -> list[bytes]:
 class WindowSet:
     """The windows of some benchmark items: word numbers, and per window length hash -> windows -> items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
         self.numbers: dict[bytes, int] = {}
         self.by_length: dict[int, tuple[np.ndarray, dict[tuple[int, ...], list[int]]]] = {}
         windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
@@ -40,7 +40,7 @@ class WindowSet:
             rows = np.array(list(found), dtype=np.uint64)
             self.by_length[length] = (
                 np.unique(rolled(rows.ravel(), length)[::length] if len(rows) else rows.ravel()),
-                {k: sorted(v) for k, v in found.items()},
+                {k: sorted(v, key=lambda item: (item is None, item or 0)) for k, v in found.items()},
             )
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int]]:
@@ -111,7 +111,7 @@ def with_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, set_w
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         rows = [(r["item"], r["text"]) for r in mine.collect()]  # about set_words words
-        out = scan(out, WindowSet([(-1 if i is None else i, t) for i, t in rows], width))
+        out = scan(out, WindowSet(rows, width))
     return out
 
 
@@ -134,7 +134,7 @@ def hit_words(spans: list[dict]) -> list[tuple[int, int]]:
 def measure(text: str | None, spans: list[dict] | None) -> tuple:
     n_words = len(normalised(text))
     n_hit = sum(b - a + 1 for a, b in hit_words(spans or []))
-    items = sorted({"null" if s["item"] == -1 else str(s["item"]) for s in spans or []})
+    items = sorted({"null" if s["item"] is None else str(s["item"]) for s in spans or []})
     digest = hashlib.sha256(",".join(items).encode()).hexdigest()
     return n_words, n_hit, len(items), digest, n_hit > 0 and 20 * n_hit >= n_words
 

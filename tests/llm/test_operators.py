@@ -438,6 +438,17 @@ def test_decontamination(which, edge, small, spark, sf_dir):
     assert decontam.report(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_item_ids(spark):
+    """Ids of any kind: missing, negative, repeated."""
+    text = " ".join(f"word{i}" for i in range(30))
+    items = [(None, text), (-1, text), (-1, text), (7, text[:120]), (0, "other words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "other words"), (3, None)], "doc_id long, text string")
+    named = [(i if i is not None else "null", t) for i, t in items]
+    expected = [(i, *brute.contamination(t, named)) for i, t in ((1, text), (2, "other words"), (3, None))]
+    assert multiset(decontam.report(docs, bench).collect()) == multiset(expected)
+
+
 # --- token files ----------------------------------------------------------------------------
 
 
@@ -450,8 +461,7 @@ def test_tokens(which, edge, small, monkeypatch):
     monkeypatch.setattr(tokens, "TASK_BYTES", 1 << 17)
     manifest = tokens.write_shards(docs, path)
     got = sorted(tokens.read_shards(manifest, with_ids=True).collect(), key=lambda r: r["start"])
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(path)  # as the library comes
     ids = [x.ids + [2] for x in plain.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     assert multiset((r["doc_id"], r["n_tokens"], r["ids_crc32"], tuple(r["ids"])) for r in got) == multiset(
@@ -465,14 +475,18 @@ def test_tokens(which, edge, small, monkeypatch):
     assert sum(len(shard.ids(i)) for i in range(len(shard.entries))) == one["n_tokens"]
 
 
-def test_encoder_equals_the_library():
-    encoder = tokens.Encoder(tokenizer_path())
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_equals_the_library(special_as_text):
+    from tokenizers import Tokenizer
+
+    encoder, plain = tokens.Encoder(tokenizer_path(), special_as_text), Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = special_as_text
     assert encoder.byte_level
     rng = random.Random(1)
     letters = "ab éß'1²½_\n\t ..,*<|\x1c\x85 日"
-    texts = ["", " ", "<|endoftext|> a", "don't a.\n'b", "a\r\n\r\n  b"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    texts = ["", " ", "<|endoftext|> a", "hello <|endoftext|> world", "<|endoftext|", "don't a.\n'b", "a\r\n\r\n  b"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(5000)]
     for text in texts:
-        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = plain.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode(text), dtype=encoder.dtype).tolist() == ids
 
 
