@@ -89,17 +89,21 @@ class Encoder:
 
     Byte-level tokenizers split a text before every single space between two other characters,
     whatever follows, so the stretches between such spaces are encoded once each and
-    remembered (at most twice CACHE_ENTRIES). Other tokenizers encode every text as it is.
-    Spellings of special tokens in a text are ordinary text.
+    remembered (at most twice CACHE_ENTRIES). Other tokenizers encode every text as it is, and so do all where a
+    text spells a token that was added to the vocabulary, which the library finds before it splits. With
+    `special_as_text` such spellings are ordinary text.
     """
 
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        spelt = [re.escape(t.content) for t in added if t.content and not (special_as_text and t.special)]
+        self.added = re.compile("|".join(sorted(spelt, key=len, reverse=True))).search if spelt else None
         pre = self.tokenizer.pre_tokenizer
         self.split = pre.pre_tokenize_str if pre is not None else None
         settings = pre.__getstate__() if pre is not None else b""
@@ -147,7 +151,7 @@ class Encoder:
         return self.piece(LETTERS[32] + spelt if spaced else spelt)
 
     def encode(self, text: str) -> bytes:
-        if not self.byte_level:
+        if not self.byte_level or (self.added and self.added(text)):
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         first, *rest = self.SAFE.split(text) if odd_spaces(text) else text.split(" ")
         return self.stretch(first, False) + b"".join(map(self.known.__getitem__, rest))
