@@ -67,7 +67,7 @@ class Features:
         words = low.split()
         known = set(words)
         variety = len(known)
-        known.update(low.translate(_BARE).split())
+        known.update(b" ".join(known).translate(_BARE).split())  # as of the whole text, each word once
         found = np.unique(np.fromiter(map(self.words.__getitem__, known), dtype=np.int32, count=len(known)))
         return found, self.metadata(text, raw, len(words), variety, source, lang, n_chars)
 

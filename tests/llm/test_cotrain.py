@@ -138,3 +138,11 @@ def test_fit_reaches_the_optimum(view):
         return (share * np.log1p(np.exp(-(2 * y - 1) * z))).sum() + cotrain.PENALTY[view] * np.abs(w[:-1]).sum()
 
     assert loss(np.r_[w[:30], constant]) <= loss(best) + 1e-5
+
+
+def test_words_with_and_without_marks():
+    features = cotrain.Features()
+    text = "Don't STOP, don't! x-y\tä-b\n(end) stop,"
+    low = text.encode().lower()
+    words = set(low.split()) | set(low.translate(cotrain._BARE).split())
+    assert features(text, None, None, None)[0].tolist() == sorted({features.words[w] for w in words})
