@@ -9,7 +9,7 @@ from tabloom.session import new_path
 
 FAST = {
     "adaboost": {"n_estimators": 8},
-    "gradient_boosting": {"n_estimators": 5},
+    "gradient_boosting": {"n_estimators": 15},  # a rate of 0.1 counts from the first tree on
     "gbt_hist": {"n_estimators": 3},
     "random_forest": {"n_estimators": 10},
     "decision_tree": {"max_depth": 6},
