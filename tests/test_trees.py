@@ -103,6 +103,40 @@ def test_large_nodes_are_split_on_histograms_first(spark, monkeypatch, classes):
         assert 1 - ((scored["_label"] - scored["prediction"]) ** 2).mean() / scored["_label"].var() > 0.9
 
 
+def test_no_row_or_task_holds_more_than_a_subtree(spark, monkeypatch):
+    x, y = made(11, 2500, 0)
+    train = frame(spark, x, y)
+    monkeypatch.setattr(forest, "SUBTREE_ROWS", 300)
+    path = new_path(spark, "forest")
+    grown = forest.fit(train, forest.Growth(0, 3, True), path)
+    parts = spark.read.parquet(f"{path}/parts")
+    assert parts.count() > 20 and parts.where("length(feature) > 4 * 2 * 300").isEmpty()  # once a row was a whole tree
+    assert grown.nodes(spark).where("slot >= 0 AND node = 0").count() == parts.count()
+    local = path.removeprefix("file://")
+    forest._KEPT.clear()
+    kept = forest.votes(x.astype(np.float32), local, 3)
+    assert set(forest._KEPT) == {f"{local}/tops", f"{local}/parts"}
+    forest._KEPT.clear()
+    monkeypatch.setattr(forest, "CACHE_BYTES", 1)
+    read_again = forest.votes(x.astype(np.float32), local, 3)
+    assert not forest._KEPT and np.allclose(kept, read_again)
+    got = {r["_row_id"]: r["prediction"] for r in grown.transform(train).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], kept[:, 0] / 3)
+
+
+def test_importances_without_nodes_are_those_of_the_nodes(spark, monkeypatch):
+    x, y = made(12, 1500, 2)
+    train = frame(spark, x, y)
+    monkeypatch.setattr(forest, "SUBTREE_ROWS", 300)
+    growth = forest.Growth(2, 4, True, 1)
+    whole, bare = (forest.fit(train, growth, new_path(spark, "forest"), keep) for keep in (True, False))
+    names = ["a", "b", "c"]
+    a, b = ({r["feature"]: r["importance"] for r in g.importances(spark, names).collect()} for g in (whole, bare))
+    per_tree = whole.nodes(spark).where("feature >= 0").groupBy("tree", "feature").agg(F.sum("decrease").alias("d")).toPandas()
+    shares = (per_tree.assign(s=per_tree.d / per_tree.groupby("tree").d.transform("sum")).groupby("feature").s.sum() / 4).to_dict()
+    assert a == b and all(math.isclose(a[n], shares[i], rel_tol=1e-9) for i, n in enumerate(names))
+
+
 def test_forest_does_not_hang_on_the_order_of_rows(spark):
     x, y = made(4, 400, 2)
     growth = forest.Growth(2, 4, True, 1)
