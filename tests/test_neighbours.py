@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators.balance import smote
-from tabloom.operators.neighbours import knn, vote
+from tabloom.operators.neighbours import Index, knn, vote
 
 
 def frame(spark, points, start=0):
@@ -92,3 +92,32 @@ def test_smote_refuses_tiny_classes(spark):
     df = spark.range(40).select("id", (F.col("id") < 3).cast("int").alias("y"), F.array(F.col("id").cast("double")).alias("v"))
     with pytest.raises(ValueError):
         smote(df, "id", "y", "v")
+
+
+@pytest.mark.parametrize("width", [1, 3, 7, 9])
+def test_index_equals_every_distance(width):
+    rng = np.random.default_rng(width)
+    base = rng.normal(size=(3000, width))
+    base[:900], base[900:1200] = np.round(base[:900], 1), 0.5  # near ties and copies
+    ids = rng.permutation(3000) // 3  # ids that repeat
+    queries, own = base[600:1300], ids[600:1300]
+    for exclude in (None, own):
+        r, n, d = Index.of(base, ids, 4).nearest(queries, 4, exclude)
+        for i in (0, 250, 299, 300, 450, 699):
+            gaps = np.sqrt(((queries[i] - base) ** 2).sum(1))
+            left = [(g, j) for g, j in zip(gaps, ids) if exclude is None or j != own[i]]
+            assert [(x, y) for x, y in zip(n[r == i], d[r == i])] == [(j, g) for g, j in sorted(left)[:4]]
+
+
+def test_index_meets_few_rows_and_holds_small_tables(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.concatenate([rng.normal(size=(40_000, 3)), np.zeros((20_000, 3))])
+    met, widest = [], []
+    gaps, dense = Index._gaps, Index._dense
+    monkeypatch.setattr(Index, "_gaps", lambda self, *a: met.append(gaps(self, *a)) or met[-1])
+    monkeypatch.setattr(Index, "_dense", lambda self, part, *a: widest.append(len(part) * len(self.rows)) or dense(self, part, *a))
+    Index.of(base, np.arange(60_000), 5).nearest(base[::30], 5)
+    assert sum(d.size for _, d in met) < 2000 * 60_000 / 20  # every row met every query
+    long = rng.normal(size=(9000, 12))
+    Index.of(long, np.arange(9000), 5).nearest(long[:1000], 5)
+    assert max(widest) <= 1 << 21  # 16 million distances were held at once
