@@ -173,6 +173,21 @@ def test_both_ways_of_searching_a_level_give_the_same_trees(spark, monkeypatch,
         assert hist.fit(frame(spark, x, y, 2), settings) == small
 
 
+def test_boosting_reads_rows_in_blocks(spark):
+    x, y = made(13, 700, 0, missing=True)
+    train = frame(spark, x, y, 2)
+    edges = hist.bin_edges(train, 3, len(y))
+    table = hist.binned_rows(train, edges, [0.5])
+    assert table.count() <= 2  # once a row each
+    trees = [[hist.Tree(feature=[1, -1, 0, -1, -1], bin=[3, 0, 2, 0, 0], threshold=[0.0] * 5, missing_left=[True] + [False] * 4,
+                        left=[1, 0, 3, 0, 0], right=[2, 0, 4, 0, 0], value=[0.0, 1.0, 0.0, 2.0, 3.0], gain=[0.0] * 5)]]
+    for r in hist.refreshed(table, 3, 1, trees).collect():
+        bins = np.frombuffer(r["bins"], np.uint8).reshape(-1, 3)
+        left = (bins[:, 1] <= 3) | (bins[:, 1] == hist.MISSING)
+        expected = 0.5 + np.where(left, 1.0, np.where(bins[:, 0] <= 2, 2.0, 3.0))
+        assert np.array_equal(np.frombuffer(r["margins"]), expected) and len(r["label"]) == 8 * len(bins)
+
+
 def plain_boost(x, y, rounds, rate, depth, penalty):
     """Second-order boosting of squared error over distinct values; margins of the training rows."""
     f = np.full(len(y), y.mean())
