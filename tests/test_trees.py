@@ -261,3 +261,35 @@ def test_svm_weights_count_as_repeats(spark):
     weighted = frame(spark, x, y).withColumn("_weight", F.when(F.col("_row_id") < 30, 2.0).otherwise(1.0))
     a, b = (svm.solve(df, [svm.Problem(1)], 1.0, tolerance=1e-9) for df in (twice, weighted))
     assert np.allclose(a, b, atol=1e-6)
+
+
+@pytest.mark.parametrize("classes,features", [(0, 0), (3, 0), (3, 2)])
+def test_features_of_few_values_need_no_order(classes, features):
+    """Tallied, swept or listed by their rare rows, features give the same tree; missing values go to the right."""
+    rng = np.random.default_rng(5)
+    x, y = made(12, 3000, classes)
+    hot = rng.integers(0, 9, 3000)[:, None] == np.arange(9)
+    x = np.c_[x, hot, rng.random(3000) < 0.4].astype(np.float32)
+    x[rng.random(3000) < 0.1, 2] = np.nan
+    w = rng.integers(1, 4, 3000).astype(float)
+    values = [v if len(v) <= 100 else None for v in (np.unique(c) for c in x.T)]
+    codes = [None if v is None else np.searchsorted(v, c).astype(np.uint8) for v, c in zip(values, x.T)]
+    growth = forest.Growth(classes, features=features)
+    coded = forest.Columns([np.ascontiguousarray(c) for c in x.T], codes, values)
+    assert np.array_equal(coded.order(y, w), np.lexsort((w, y, *x.T)))
+    swept, tallied = (forest.subtree(d, y, w, growth, 0, 1, 0) for d in (x, coded))
+    for name in swept:
+        assert np.array_equal(swept[name], tallied[name]), name
+
+
+def test_rows_of_few_values_are_dealt_as_bytes(spark, monkeypatch):
+    """A forest sends features of few values to its sub-trees as one byte a row, and its trees are those of the whole numbers."""
+    x, y = made(13, 800, 0, missing=True)
+    train = frame(spark, x, y)
+    n, values = forest.few_values(train, 3)
+    assert n == 800 and values[1] is None and len(values[0]) == 6 and len(values[2]) == 40
+    blocks = forest.row_blocks(train, 3, None, values).collect()
+    assert sum(len(b["x"]) for b in blocks) == 4 * 800 and sum(len(b["codes"]) for b in blocks) == 2 * 800
+    first = forest.fit(train, forest.Growth(0, 3, True), new_path(spark, "forest")).nodes(spark).orderBy("tree", "node").collect()
+    monkeypatch.setattr(forest, "few_values", lambda train, width: (800, [None] * width))
+    assert first == forest.fit(train, forest.Growth(0, 3, True), new_path(spark, "forest")).nodes(spark).orderBy("tree", "node").collect()
