@@ -1,8 +1,9 @@
 """Quality and toxicity classifiers by co-training a text view and a page-metadata view.
 
 Each view is a sparse logistic regression over hashed features: for the text its words, for the metadata source,
-language, lengths and layout. The labelled sample is bounded and fitted by one task per head; every unlabelled
-document is scored in every round, where it is read, and the surest become pseudo-labels of the
+language, lengths and layout. Texts are read as features once, into a table in the shared folder, 4 bytes per distinct
+word. The labelled sample is bounded and fitted by one task per head; the features of every unlabelled
+document are scored in every round, and the surest become pseudo-labels of the
 other view. The driver holds weights, counts per bin of the margins and the keys picked.
 """
 
@@ -86,22 +87,24 @@ class Features:
         return np.unique([self.hash(f"{k}={v}".encode("utf-8", "surrogatepass")) % PLACES["meta"] for k, v in named.items()]).astype(np.int32)
 
 
-READ = ["key", "text", "source", "lang", "n_chars"]
-FEATURES = "key long, words binary, facts binary"
+READ = ["text", "source", "lang", "n_chars"]
+NAMES = ["key", "same", "doc_id"]
 
 
-def featured(rows: DataFrame) -> DataFrame:
-    """(key, words, facts): the places of both views' features."""
-    schema = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("facts", pa.binary())])
+def featured(docs: DataFrame) -> DataFrame:
+    """Per row its names and (words, facts): the places of both views' features."""
+    places = [pa.field(c, pa.binary()) for c in ("words", "facts")]
+    names = docs.select(*NAMES).schema
 
     def run(batches):
         features = Features()
         for batch in batches:
-            made = [features(*(v.as_py() for v in r)) for r in zip(*(batch.column(c) for c in READ[1:]))]
-            columns = [batch.column("key"), *[pa.array([m[i].tobytes() for m in made], pa.binary()) for i in (0, 1)]]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            made = [features(*(v.as_py() for v in r)) for r in zip(*(batch.column(c) for c in READ))]
+            columns = [batch.column(c) for c in NAMES] + [pa.array([m[i].tobytes() for m in made], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*(batch.schema.field(c) for c in NAMES), *places]))
 
-    return rows.select(*READ).mapInArrow(run, FEATURES)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names)
+    return docs.select(*NAMES, *READ).mapInArrow(run, f"{ddl}, words binary, facts binary")
 
 
 # --- fitting a bounded sample ---------------------------------------------------------------
@@ -119,6 +122,11 @@ class Rows:
         arrays = [np.frombuffer(p, np.int32) for p in parts]
         return Rows(np.concatenate([np.zeros(0, np.int32), *arrays]), np.cumsum([0, *map(len, arrays)]))
 
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """As margins, but no row's sum hangs on the rows beside it."""
+        owner = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        return np.bincount(owner, weights=weights[self.places], minlength=len(self.starts) - 1)
+
     def margins(self, weights: np.ndarray) -> np.ndarray:
         upto = np.concatenate([[0.0], np.cumsum(weights[self.places])])
         return upto[self.starts[1:]] - upto[self.starts[:-1]]
@@ -252,24 +260,23 @@ MARGINS = [f"{h}_{v}" for h in HEADS for v in VIEWS]
 
 
 def margins_of(rows: DataFrame, heads: dict[str, Head], kept: list[str]) -> DataFrame:
-    """The columns `kept` and the margin of every head and view (0 for a constant head), per row, where it is read."""
+    """The columns `kept` and the margin of every head and view (0 for a constant head), per row of features, where it is read."""
     schema = rows.select(*kept).schema
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", " + ", ".join(f"{m} double" for m in MARGINS)
     shared = rows.sparkSession.sparkContext.broadcast({h: (m.weights, m.constants) for h, m in heads.items() if m.weights})  # 9 MB at most
 
     def run(batches):
-        features, models = Features(), shared.value
+        models = shared.value
         for batch in batches:
-            out = np.zeros((batch.num_rows, len(MARGINS)))
-            for i, r in enumerate(zip(*(batch.column(c) for c in READ[1:]))):
-                found = dict(zip(VIEWS, features(*(v.as_py() for v in r))))
-                for k, (h, v) in enumerate((h, v) for h in HEADS for v in VIEWS):
-                    if h in models:
-                        out[i, k] = models[h][0][v][found[v]].sum(dtype=float) + models[h][1][v]
-            columns = [batch.column(c) for c in kept] + [pa.array(np.ascontiguousarray(c)) for c in out.T]
+            found = {v: Rows.of(batch.column(c).to_pylist()) for v, c in zip(VIEWS, ("words", "facts"))}
+            columns = [batch.column(c) for c in kept]
+            for h in HEADS:
+                for v in VIEWS:
+                    margins = found[v].sums(models[h][0][v]) + models[h][1][v] if h in models else np.zeros(batch.num_rows)
+                    columns.append(pa.array(margins, pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *MARGINS])
 
-    return rows.select(*dict.fromkeys([*kept, *READ])).mapInArrow(run, ddl)
+    return rows.select(*dict.fromkeys([*kept, "words", "facts"])).mapInArrow(run, ddl)
 
 
 def picked(scores: DataFrame, heads: dict[str, Head], used: dict[str, set[int]]) -> list[tuple[int, str, str, int]]:
@@ -321,18 +328,28 @@ def labels_of(labels: DataFrame) -> DataFrame:
 
 
 def co_train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, steps: int = STEPS) -> tuple[dict[str, Head], list]:
-    """The fitted heads and the pseudo-labels handed over, as (round, key, head, receiving view, label); docs: key, same, doc_id, READ.
+    """The fitted heads and the pseudo-labels handed over, as (round, key, head, receiving view, label); docs: NAMES, READ."""
+    made = scratch.keep(featured(docs), "document-features")
+    try:
+        return trained(made, labels, scratch, max_labelled, rounds, steps)
+    finally:
+        scratch.drop(made)
+
+
+def trained(made: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int, rounds: int = ROUNDS, steps: int = STEPS) -> tuple[dict[str, Head], list]:
+    """As co_train, of the features of the documents.
 
     A round fits and calibrates both views of each head, scores all unlabelled documents, of copies the least key, and lets each view hand
     the ones it is surest of to the other view. A last fit uses all pseudo-labels.
     """
-    spark = docs.sparkSession
+    spark = made.sparkSession
     known = labels_of(labels)
-    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(max_labelled)
+    chosen = known.join(made.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(max_labelled)
     chosen = scratch.keep(chosen.withColumn("calibrates", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(CALIBRATION)) == 0), "labelled-ids")
-    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("same", *HEADS).agg(F.min(F.struct("key", "calibrates")).alias("row"))  # copies would weigh their words up
+    sample = made.select(*NAMES).join(F.broadcast(chosen), "doc_id").groupBy("same", *HEADS).agg(F.min(F.struct("key", "calibrates")).alias("row"))  # copies would weigh their words up
     sample = scratch.keep(sample.select("row.*", *HEADS).dropDuplicates(["key"]), "labelled-keys")
-    features = featured(docs.join(F.broadcast(sample.select("key")), "key", "left_semi")).dropDuplicates(["key"])
+    places = made.select("key", "words", "facts")
+    features = places.join(F.broadcast(sample.select("key")), "key", "left_semi").dropDuplicates(["key"])
     one = F.inline(F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("label")) for h in HEADS]))
     base = features.join(F.broadcast(sample), "key").select("key", "calibrates", "words", "facts", one).where("label IS NOT NULL")
     base = scratch.keep(base.withColumn("view", F.lit(None).cast("string")), "labelled-rows")
@@ -341,7 +358,7 @@ def co_train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled:
     for turn in range(rounds):
         if all(not h.weights for h in heads.values()):
             break
-        scores = margins_of(docs, heads, ["key", "same", "doc_id"]).join(known.select("doc_id"), "doc_id", "left_anti")
+        scores = margins_of(made, heads, NAMES).join(known.select("doc_id"), "doc_id", "left_anti")
         scores = scratch.keep(scores.groupBy("same").agg(F.min(F.struct("key", *MARGINS)).alias("row")).select("same", "row.*"), "pool-margins")
         new = picked(scores, heads, used)
         scratch.drop(scores)
@@ -349,7 +366,7 @@ def co_train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled:
             break
         handed += [(turn, *x) for x in new]
         names = F.broadcast(spark.createDataFrame(new, "key long, head string, view string, label int"))  # within the quotas
-        found = featured(docs.join(F.broadcast(spark.createDataFrame([(k,) for k in {x[0] for x in new}], "key long")), "key", "left_semi"))
+        found = places.join(F.broadcast(spark.createDataFrame([(k,) for k in {x[0] for x in new}], "key long")), "key", "left_semi")
         fresh = found.dropDuplicates(["key"]).join(names, "key").withColumn("calibrates", F.lit(False))
         rows = rows.unionByName(scratch.keep(fresh, "pseudo-labels"))
         heads = fit_heads(rows, steps)
@@ -372,8 +389,9 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         F.xxhash64("doc_id", text).alias("key"), F.xxhash64(text).alias("same"), "doc_id", text.alias("text"), *named.values(),
         F.col("n_chars").cast("long").alias("n_chars"),
     )
-    heads, _ = co_train(rows, labels, scratch, max_labelled)
-    scored = margins_of(rows, heads, ["doc_id"])
+    made = scratch.keep(featured(rows), "document-features")
+    heads, _ = trained(made, labels, scratch, max_labelled)
+    scored = margins_of(made, heads, ["doc_id"])
 
     def probability(name: str):
         head = heads[name]

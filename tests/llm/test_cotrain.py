@@ -146,3 +146,16 @@ def test_words_with_and_without_marks():
     low = text.encode().lower()
     words = set(low.split()) | set(low.translate(cotrain._BARE).split())
     assert features(text, None, None, None)[0].tolist() == sorted({features.words[w] for w in words})
+
+
+def test_texts_are_read_as_features_once(spark, monkeypatch):
+    """However many rounds score all documents."""
+    _, _, docs, label_table = table(spark, 120)
+    seen, featured = [], cotrain.featured
+
+    def counted(rows):
+        seen.append(rows.count())
+        return featured(rows)
+
+    monkeypatch.setattr(cotrain, "featured", counted)
+    assert cotrain.classify(docs, label_table).count() == 120 and seen == [120]
