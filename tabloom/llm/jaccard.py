@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join by signature trees with dual traversal.
 
 Equal shingle sets are one set. Sets that could be similar are brought together losslessly: a
-set is cut by hash into so many parts that two similar sets must agree on one part. The
-connected groups of that relation are the blocks; each is searched with signature trees, whose nodes hold the
-OR of their members' shingle bitmaps and their range of sizes. Pairs of nodes are pruned by the
+set is cut by hash into so many parts that two similar sets must agree on a known number of them, and sets that
+agree on too few, such as texts that share no more than a passage, do not meet. The connected groups of that relation
+are the blocks; each is searched with signature trees, whose nodes hold the OR of their members' shingle bitmaps and their range of sizes. Pairs of nodes are pruned by the
 largest overlap they allow; what reaches the leaves is verified on whole sets.
 """
 
@@ -23,8 +23,10 @@ from .components import components
 PERCENT = 90
 WIDTH = 3
 FANOUT = 8
-#: Parts beyond the fewest that would do; see part_keys.
+#: Parts beyond the fewest that would do: a third of the differences, this many at least; see set_parts and set_blocks.
 SPARE = 3
+#: Sets up to which the pairs of a part key are listed; with more the key is frequent.
+LISTED = 4
 #: Shingles and sets of a block that one task holds; larger blocks are cut into pairs of sub-trees.
 TASK_SHINGLES = 4_000_000
 TASK_SETS = 8192
@@ -95,29 +97,39 @@ def schemes(size: int, percent: int) -> list[tuple[int, int]]:
     return [(band, int(FIRSTS[band + 1] - 1) * (100 - percent) // percent) for band in out]
 
 
-def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """One key per part of each scheme: equal for sets that agree on the part.
+def set_parts(shingles: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, slack, keys) per scheme; a key per part, equal for sets that agree on the part, its lowest bit that of the band.
 
-    With `most` differences and most + 1 + SPARE parts, similar sets agree on more than SPARE
-    parts. If either has at most SPARE empty parts, one of those is not empty; so only sets with
-    more empty parts give keys for these, which would else bring unlike sets together.
+    With `most` differences and most + 1 + spare parts, similar sets agree on more than spare
+    parts. If either has at most spare empty parts, one of those is not empty; so only sets with
+    more empty parts give keys for these, which would else bring unlike sets together. The slack is
+    spare less the empty parts: similar sets share more keys than the slack of either, and one at least.
     """
-    keys = []
+    out = []
     with np.errstate(over="ignore"):
         mixed = finished(shingles * M3)
         for band, most in schemes(len(shingles), percent):
-            parts = most + 1 + SPARE if most else 1
+            spare = max(SPARE, most // 3) if most else 0
+            parts = most + 1 + spare
             sums = np.zeros(parts, dtype=np.uint64)
             place = ((shingles >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             np.add.at(sums, place, mixed)
             named = finished(finished(sums + np.arange(parts, dtype=np.uint64) * M1) + np.uint64(band) * M2)
+            named = (named & ~np.uint64(1)) | np.uint64(band & 1)
             filled = np.bincount(place, minlength=parts) > 0
-            keys.append(named if (~filled).sum() > SPARE else named[filled])
-    return np.concatenate(keys).view(np.int64)
+            empty = int((~filled).sum())
+            out.append((band, spare - empty, (named if empty > spare else named[filled]).view(np.int64)))
+    return out
+
+
+def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of all schemes of a set."""
+    return np.concatenate([keys for _, _, keys in set_parts(shingles, percent)])
 
 
 SETS = pa.schema(
-    [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary())]
+    + [("odd", pa.int32()), ("slack", pa.int32()), ("slack_below", pa.int32()), ("keys", pa.list_(pa.int64()))]
 )
 #: Sets of which a task remembers that it has given their part keys already.
 SEEN_SETS = 1 << 17
@@ -128,25 +140,31 @@ def set_name(shingles: np.ndarray) -> bytes:
 
 
 def shingle_sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row its number of shingles, the name of its set and its part keys (none for an empty set or one this task has met before)."""
+    """Per row its number of shingles, the name of its set, and its part keys (none for an empty set or one this task has met before).
+
+    `odd` is the lowest bit of its own band; the slacks are those of its own scheme and of the one below, if it has that.
+    """
 
     def run(batches):
         shingle, seen = Shingler(width), set()
         for batch in batches:
-            sizes, names, keys = [], [], []
+            sizes, names, cuts = [], [], []
             for text in batch.column("text"):
                 shingles = shingle(text.as_py())
                 name = set_name(shingles) if len(shingles) else None
                 sizes.append(len(shingles))
                 names.append(name)
-                keys.append([] if name is None or name in seen else part_keys(shingles, percent))
+                cuts.append([] if name is None or name in seen else set_parts(shingles, percent))
                 if len(seen) >= SEEN_SETS:
                     seen.clear()
                 seen.add(name)
-            arrays = [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            odd = pa.array([c[0][0] & 1 if c else None for c in cuts], pa.int32())
+            slacks = [pa.array([c[i][1] if len(c) > i else None for c in cuts], pa.int32()) for i in (0, 1)]
+            keys = pa.array([np.concatenate([k for _, _, k in c]) if c else [] for c in cuts], pa.list_(pa.int64()))
+            arrays = [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), odd, *slacks, keys]
             yield pa.RecordBatch.from_arrays(arrays, schema=SETS)
 
-    return rows.mapInArrow(run, "doc_id long, row_key long, n_shingles long, set_id binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, row_key long, n_shingles long, set_id binary, odd int, slack int, slack_below int, keys array<long>")
 
 
 class Tree:
@@ -310,16 +328,53 @@ def set_number() -> Column:
     return F.shiftrightunsigned(F.xxhash64("set_id"), 16)
 
 
+def shared_parts(keyed: DataFrame) -> DataFrame:
+    """(frequent, a, b): pairs of schemes that share a key of at most LISTED, once per key, and (scheme, key) of the keys that more schemes have.
+
+    A scheme is a set in one band: twice the set's number, plus the band's lowest bit. Keys are shuffled straight from the
+    rows; each task has given those of a set once.
+    """
+    exploded = keyed.where("set_id is not null").select(set_number().alias("node"), F.explode("keys").alias("key"))
+    schemed = exploded.select("key", (F.col("node") * 2 + F.col("key").bitwiseAND(F.lit(1))).alias("a"))
+    inside = Window.partitionBy("key").orderBy("a")
+    around = schemed.withColumn("_before", F.lag("a").over(inside)).withColumn("_after", F.lead("a").over(inside))
+    met = around.where("(_before is null and _after is not null) or _before <> a").select("key", "a")  # each scheme once, keys of one row gone
+    everyone = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    later = F.array(*[F.lead("a", k).over(inside) for k in range(1, LISTED)])
+    counted = met.select("key", "a", (F.count("*").over(everyone) > LISTED).alias("frequent"), later.alias("_later"))
+    other = F.when(F.col("frequent"), F.array("key")).otherwise(F.filter("_later", lambda x: x.isNotNull()))
+    return counted.select("frequent", "a", F.explode(other).alias("b"))
+
+
 def set_blocks(keyed: DataFrame) -> DataFrame:
-    """(node, root) of the sets that share a part key, directly or through others.
+    """(node, root) of the sets that may be similar, directly or through others.
 
-    A set is named by 48 bits of its name here; sets that share those share a block, no more. Keys
-    are shuffled straight from the rows; each task has given those of a set once.
+    Frequent keys, such as those of a passage that many texts hold, are taken from the slack of a scheme. While some of it is
+    left, similar schemes share more listed keys than that, and pairs with fewer go. Schemes without slack meet in any key they
+    share, listed or frequent. So a similar pair always meets: of the parts it agrees on, those that do not count are
+    empty or frequent in both, so no more than either set has.
+    A set is named by 48 bits of its name here; sets that share those share a block, no more.
     """
-    pairs = keyed.where("set_id is not null").select(set_number().alias("node"), F.explode("keys").alias("key"))
-    least = F.min("node").over(Window.partitionBy("key"))
-    meet = pairs.withColumn("least", least).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return components(meet, "jaccard-blocks")
+    scratch = Scratch(keyed.sparkSession)
+    met = scratch.keep(shared_parts(keyed), "jaccard-met")
+    node = set_number() * 2
+    schemes_of = F.inline(F.array(
+        F.struct((node + F.col("odd")).alias("scheme"), "slack"), F.struct((node + 1 - F.col("odd")).alias("scheme"), F.col("slack_below").alias("slack"))
+    ))
+    known = keyed.where("odd is not null").select(schemes_of).where("slack is not null").groupBy("scheme").agg(F.min("slack").alias("slack"))
+    frequent = met.where("frequent").select(F.col("a").alias("scheme"), F.col("b").alias("key"))
+    taken = frequent.groupBy("scheme").agg(F.count("*").alias("_n"))
+    left = scratch.keep(known.join(taken, "scheme", "left").select("scheme", (F.col("slack") - F.coalesce("_n", F.lit(0))).alias("left")), "jaccard-slack")
+    pairs = met.where("not frequent").groupBy("a", "b").agg(F.count("*").alias("_n"))
+    for side in ("a", "b"):
+        pairs = pairs.join(left.select(F.col("scheme").alias(side), F.col("left").alias(f"_{side}")), side)
+    pairs = pairs.where(F.col("_n") > F.greatest("_a", "_b", F.lit(0))).select("a", "b")
+    least = F.min("scheme").over(Window.partitionBy("key"))
+    spent = frequent.join(left.where("left < 0"), "scheme").withColumn("least", least).where("scheme <> least")
+    edges = pairs.unionByName(spent.select(F.col("scheme").alias("a"), F.col("least").alias("b")))
+    roots = components(edges.select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b")), "jaccard-blocks")
+    scratch.drop(met, left)
+    return roots
 
 
 def row_key() -> Column:
@@ -338,7 +393,7 @@ def jaccard_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text_of(F.col("text")).alias("text"))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")  # a row without an id comes last
     keyed = scratch.keep(shingle_sets(rows, width, percent), "shingle-sets")
-    sets = scratch.keep(keyed.drop("keys"), "shingle-names")
+    sets = scratch.keep(keyed.select("doc_id", "row_key", "n_shingles", "set_id"), "shingle-names")
     blocks = scratch.keep(set_blocks(keyed), "jaccard-members")
     scratch.drop(keyed)
     distinct = (

@@ -222,6 +222,57 @@ def test_similar_sets_share_a_part_key():
                 assert set(jaccard.part_keys(x, 90)) & set(jaccard.part_keys(y, 90))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_more_keys_than_their_slack(percent):
+    rng, shingle = random.Random(5), jaccard.Shingler(3)
+    met = 0
+    for size in [1, 3, 6, 11, 20, 40, 64, 95, 150, 400, 900]:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(size + 2)]
+        for _ in range(30):
+            b = list(a)
+            for _ in range(rng.randrange(max(1, size * (100 - percent) // 500) + 1)):
+                b[rng.randrange(len(b))] = f"x{rng.randrange(10**6)}"
+            x, y = shingle(" ".join(a)), shingle(" ".join(b))
+            if not jaccard.similar(x, y, percent):
+                continue
+            mine, theirs = ({band: (slack, set(keys.tolist())) for band, slack, keys in jaccard.set_parts(s, percent)} for s in (x, y))
+            band = min(max(mine), max(theirs))  # that of the smaller set, or its own below
+            (s, k), (t, m) = mine[band], theirs[band]
+            assert len(k & m) > max(s, t, 0)
+            met += 1
+    assert met > 150
+
+
+def passages(n):
+    """Texts of 200 words of their own, a tenth of them followed by a slight change of another, around one passage of 40 words."""
+    rng, rows = random.Random(12), []
+    shared = [f"p{i}" for i in range(40)]
+    for _ in range(n):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        at = rng.randrange(200)
+        for copy in range(1 + (rng.random() < 0.1)):
+            rows.append((len(rows), " ".join(own[:at] + shared + own[at:])))
+            own[-1] = "other"
+    return rows
+
+
+@pytest.mark.parametrize("listed", [2, 4])
+def test_jaccard_with_frequent_keys(spark, monkeypatch, listed):
+    monkeypatch.setattr(jaccard, "LISTED", listed)
+    rows = passages(60) + [(1000 + i, t) for i, t in family(40)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    _, classes = brute.jaccard_classes(rows)
+    assert got == {i: rows[c][0] for (i, _), c in zip(rows, classes)}
+
+
+def test_texts_that_share_a_passage_are_no_block(spark):
+    rows = passages(400)
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, row_key long, text string")
+    blocks = jaccard.set_blocks(jaccard.shingle_sets(docs, 5, 80).persist())
+    sizes = [r["count"] for r in blocks.groupBy("root").count().collect()]
+    assert max(sizes) == 2 and sum(sizes) == 2 * (len(rows) - 400)
+
+
 def test_jaccard_empty(nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
