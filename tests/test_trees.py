@@ -293,3 +293,17 @@ def test_rows_of_few_values_are_dealt_as_bytes(spark, monkeypatch):
     first = forest.fit(train, forest.Growth(0, 3, True), new_path(spark, "forest")).nodes(spark).orderBy("tree", "node").collect()
     monkeypatch.setattr(forest, "few_values", lambda train, width: (800, [None] * width))
     assert first == forest.fit(train, forest.Growth(0, 3, True), new_path(spark, "forest")).nodes(spark).orderBy("tree", "node").collect()
+
+
+def test_bin_edges_do_not_hang_on_the_number_of_rows(spark, monkeypatch):
+    """Above EXACT_ROWS the edges are the exact quantiles too; a sketch once stood in for them."""
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.normal(size=30_000).cumsum(), rng.integers(0, 40, 30_000), np.zeros(30_000), np.full(30_000, np.nan)]
+    x[rng.random(30_000) < 0.1, 0] = np.nan
+    train = spark.createDataFrame([(r.tolist(), 0.0) for r in x], "v array<double>, _label double").select(array_to_vector("v").alias("features"), "_label")
+    one = hist.bin_edges(train, 4, len(x))
+    monkeypatch.setattr(hist, "EXACT_ROWS", 100)
+    many = hist.bin_edges(train, 4, len(x))
+    known = x[~np.isnan(x[:, 0]), 0]
+    assert np.allclose(many[0], np.quantile(known, np.arange(1, 255) / 255), rtol=1e-12)
+    assert [e.tolist() for e in one] == [e.tolist() for e in many] and len(many[1]) == 40 and len(many[2]) == 1 and not len(many[3])
