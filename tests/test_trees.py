@@ -307,3 +307,44 @@ def test_bin_edges_do_not_hang_on_the_number_of_rows(spark, monkeypatch):
     known = x[~np.isnan(x[:, 0]), 0]
     assert np.allclose(many[0], np.quantile(known, np.arange(1, 255) / 255), rtol=1e-12)
     assert [e.tolist() for e in one] == [e.tolist() for e in many] and len(many[1]) == 40 and len(many[2]) == 1 and not len(many[3])
+
+
+def whole_trees(grown, spark):
+    """Of each tree the rows, feature and threshold of every node, root first, then left before right, wherever it is kept."""
+    nodes = {(r["tree"], r["slot"], r["node"]): r for r in grown.nodes(spark).collect()}
+
+    def walk(t, slot, i):
+        r = nodes[t, slot, i]
+        if r["feature"] < 0:
+            return [(r["rows"], -1, 0.0)]
+        below = [walk(t, slot, c) if c >= 0 else walk(t, -2 - c, 0) for c in (r["left"], r["right"])]
+        return [(r["rows"], r["feature"], r["threshold"]), *below[0], *below[1]]
+
+    return [walk(t, -1 if (t, -1, 0) in nodes else 0, 0) for t in range(grown.trees)]
+
+
+@pytest.mark.parametrize("classes,bootstrap", [(0, False), (0, True), (3, True)])
+def test_large_nodes_split_as_small_ones_do(spark, monkeypatch, classes, bootstrap):
+    """Nodes too large for one task once were split on 255 bins, so trees hung on the number of rows."""
+    x, y = made(14, 3000, classes)
+    x = np.c_[x, np.random.default_rng(2).normal(size=3000)]
+    x[:900, 1] = 0.25  # one value in several chunks
+    x[np.random.default_rng(3).random(3000) < 0.1, 3] = np.nan
+    train, growth = frame(spark, x, np.round(y, 2)), forest.Growth(classes, 2, bootstrap, least_split=20)
+    one = whole_trees(forest.fit(train, growth, new_path(spark, "forest")), spark)
+    monkeypatch.setattr(forest, "SUBTREE_ROWS", 250)
+    monkeypatch.setattr(forest, "CHUNK_ROWS", 400)
+    parted = forest.fit(train, growth, new_path(spark, "forest"))
+    assert parted.nodes(spark).where("slot = -1 AND feature >= 0").count() > 10
+    assert whole_trees(parted, spark) == one
+
+
+def test_first_levels_are_found_above_the_subtrees(spark, monkeypatch):
+    x, y = made(15, 1000, 2)
+    key = ["node", "feature", "threshold", "rows"]
+    found = []
+    for limit in (200_000, 600, 100):
+        monkeypatch.setattr(forest, "SUBTREE_ROWS", limit)
+        grown = forest.fit(frame(spark, x, y), forest.Growth(2), new_path(spark, "forest"))
+        found.append(sorted(map(tuple, grown.first_levels(spark).select(key).collect())))
+    assert len(found[0]) == 3 and found[0] == found[1] == found[2]
