@@ -85,6 +85,64 @@ def test_exchange_gain_is_the_likelihood_difference():
         assert gain >= -1e-9
 
 
+def test_lm_clusters_rare_words_by_their_neighbours(spark):
+    """Words outside the core once were classes by their count alone, whatever stands beside them."""
+    texts = [(3 * i + k, f"the noun{i} is old and they want to verb{i} it") for i in range(40) for k in range(2 + i % 2)]
+    texts += [(200 + i, "the cat is old and they want to go it") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model, coded = brown.fit(docs, core_share=0.02, choices=10, block_bytes=500)
+    classes = {0: set(), 1: set()}
+    for r in coded.collect():
+        for i, start in zip(r["doc_ids"], np.cumsum(r["lengths"]) - r["lengths"]):
+            for kind, place in ((0, 1), (1, 8)) if i < 200 else ():
+                code = r["codes"][r["ids"][start + place]]
+                assert code >= model.core and (code - model.core) // brown.BANDS == 2 + i // 3 % 2  # its count
+                classes[kind].add((code - model.core) % brown.BANDS)
+    assert len(classes[0]) == len(classes[1]) == 1 and classes[0] != classes[1] and 0 not in classes[0] | classes[1]
+
+
+def test_tail_gain_is_the_likelihood_difference():
+    rng = np.random.default_rng(4)
+    total, targets, other = 9, np.array([1, 2, 3]), [0, 4, 5, 6, 7, 8]
+    matrix = rng.integers(0, 9, (total, total)).astype(float)
+    words = []
+    for _ in range(20):
+        after, before = np.zeros(total), np.zeros(total)
+        after[rng.choice(other, 2)] += rng.integers(1, 4, 2)
+        before[rng.choice(other, 2)] += rng.integers(1, 4, 2)
+        words.append(np.concatenate([after, before]).astype(int))
+    cells = [(w, k, n) for w, row in enumerate(words) for k, n in enumerate(row) if n]
+    word, key, n = (np.array(v) for v in zip(*cells))
+    own = np.array([-1 if w % 2 else w % 3 for w in range(20)])
+    for w, row in enumerate(words):  # words of a class are counted in it
+        if own[w] >= 0:
+            matrix[targets[own[w]]] += row[:total]
+            matrix[:, targets[own[w]]] += row[total:]
+    got = brown.tail_gains(word, key, n, own, matrix, targets)
+
+    def value(m):
+        # the word's pairs count for its neighbours wherever it is, so only the cells and the sums of its own class change
+        rows, columns = m[targets].sum(1), m[:, targets].sum(0)
+        return brown.xlogx(m).sum() - brown.xlogx(rows).sum() - brown.xlogx(columns).sum()
+
+    for w, row in enumerate(words):
+        without = matrix.copy()
+        if own[w] >= 0:
+            without[targets[own[w]]] -= row[:total]
+            without[:, targets[own[w]]] -= row[total:]
+        for k, t in enumerate(targets):
+            taken = without.copy()
+            taken[t] += row[:total]
+            taken[:, t] += row[total:]
+            assert np.isclose(value(taken) - value(without), got[w, k])
+
+
+def test_tail_words_are_weighed_in_pieces(monkeypatch):
+    starts = np.array([0, 3, 4, 11, 12])
+    monkeypatch.setattr(brown, "TAIL_ENTRIES", 5)
+    assert list(brown.pieces(starts, 14)) == [(0, 2, 0, 4), (2, 3, 4, 11), (3, 5, 11, 14)]
+
+
 # --- classifier -----------------------------------------------------------------------------
 
 
