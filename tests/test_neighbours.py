@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.operators import neighbours as nb
 from tabloom.operators.balance import smote
 from tabloom.operators.neighbours import Index, knn, vote
 
@@ -121,3 +122,26 @@ def test_index_meets_few_rows_and_holds_small_tables(monkeypatch):
     long = rng.normal(size=(9000, 12))
     Index.of(long, np.arange(9000), 5).nearest(long[:1000], 5)
     assert max(widest) <= 1 << 21  # 16 million distances were held at once
+
+
+def test_other_cells_give_only_rows_within_the_bound(spark, monkeypatch):
+    """Every visited cell once gave its k nearest rows, however far, and cells were ruled out by their pivots alone."""
+    rng = np.random.default_rng(8)
+    kind = rng.integers(0, 12, 1200)
+    vectors = np.c_[np.round(rng.normal(size=1200), 2), kind, kind % 3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    found, visits, search = [], [], nb._search_cells
+
+    def watched(asked, *rest):
+        out = search(asked, *rest).persist()
+        visits.append(asked.count())
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(nb, "_search_cells", watched)
+    got = nb.knn(df, df, 5, exclude_self=True, broadcast_bytes=0, cell_rows=40).collect()
+    gaps = ((vectors[:, None] - vectors[None]) ** 2).sum(2)
+    np.fill_diagonal(gaps, np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(1200), gaps.shape), gaps), axis=1)[:, :5]
+    assert {(r["query_id"], r["rank"]): r["neighbour_id"] for r in got} == {(i, j + 1): n for i, row in enumerate(order.tolist()) for j, n in enumerate(row)}
+    assert found[1] < 2 * visits[1]  # 5 a visit before
